@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knotwork.llm import secret_scan
+from knotwork.llm import mixing, secret_scan
 from knotwork.llm.queries_map import read
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.findings(secret_scan.scan(read(spark, sf_dir, "documents"))))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(mixing.mix(read(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}))

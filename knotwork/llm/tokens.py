@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_SEGMENT = 1 << 20  # bytes hashed at once: bounds the temporary uint64 arrays
+_SEGMENT = 1 << 16  # bytes hashed at once: bounds the temporary uint64 arrays
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
