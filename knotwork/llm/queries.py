@@ -12,6 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": queries_scan.op2_mixing,
     "op3_near_dup": queries_pairs.op3_near_dup,
     "op4_secret_scan": queries_scan.op4_secret_scan,
+    "op6_language_id": queries_map.op6_language_id,
+    "op8_pieces": queries_map.op8_pieces,
     "op9_toxicity": queries_map.op9_toxicity,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import sampling, toxicity
+from knotwork.llm import language_id, pieces, sampling, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +21,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    held_out = (sampling.crc_fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decoded(pieces.encode(docs))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.replace("text", F.lit(pieces.MARK), F.lit(" "))).alias("round_trip"))
