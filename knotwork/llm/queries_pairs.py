@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import near_dup
+from knotwork.llm import lattice, near_dup
 from knotwork.llm.queries_map import read
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(read(spark, sf_dir, "documents"), near_dup.Settings(words=2)).drop("row")
+
+
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.link(read(spark, sf_dir, "embeddings"))
