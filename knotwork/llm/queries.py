@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import lattice, queries_map, queries_pairs, queries_scan, secret_scan
+from knotwork.llm import lattice, neighbours, queries_map, queries_pairs, queries_scan, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": queries_scan.op2_mixing,
     "op3_near_dup": queries_pairs.op3_near_dup,
     "op4_secret_scan": queries_scan.op4_secret_scan,
+    "op5_neighbours": queries_pairs.op5_neighbours,
     "op6_language_id": queries_map.op6_language_id,
     "op7_lattice": queries_pairs.op7_lattice,
     "op8_pieces": queries_map.op8_pieces,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secret_scan.oracle(),
+    "op5_neighbours": neighbours.oracle(),
     "op7_lattice": lattice.oracle(),
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knotwork.llm import lattice, near_dup
+from knotwork.llm import lattice, near_dup, neighbours
 from knotwork.llm.queries_map import read
 
 
@@ -14,3 +15,7 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.link(read(spark, sf_dir, "embeddings"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
