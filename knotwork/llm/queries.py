@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from knotwork.llm import lattice, neighbours, queries_map, queries_pairs, queries_scan, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": queries_pairs.op1_repeats,
     "op2_mixing": queries_scan.op2_mixing,
     "op3_near_dup": queries_pairs.op3_near_dup,
     "op4_secret_scan": queries_scan.op4_secret_scan,
