@@ -9,9 +9,9 @@ neighbours with the longest common prefix.  Neighbours whose signatures and size
 link are compared on their full sets, and links make components.
 
 Neighbours alone could miss links inside a region that holds several components.  So regions
-that still do are searched again: all pairs of documents of different components there are
-candidates, block by block, and no pair within a component is made.  After that every pair
-that shares any region is either in one component or has been compared.
+that still do are searched again, block by block, with the sets at hand: documents of different
+components are compared there, and those already joined are not.  After that every pair that
+shares any region is either in one component or has been compared.
 
 The signature only rules out pairs with under 36 equal values of 64; a link (similarity 0.8:
 51 expected) falls below that with a chance of about one in a million, and shares no region
@@ -26,14 +26,13 @@ has no other; an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm import tokens
+from knotwork.llm import tokens, vectors
 from knotwork.operators.contraction import star_contraction
 from knotwork.plans import scratch
 
@@ -181,10 +180,10 @@ def _may_link(n_a, n_b, percent: int):
 
 
 def regions(reps: DataFrame, settings: Settings) -> DataFrame:
-    """(region, rest, member): a row for each document and order; rows of an order share their first
+    """(region, t, rest, member): a row for each document and order; rows of an order share their first
     four values exactly if they share ``region``, and ``rest`` sorts them by the next four."""
     each = reps.select("member", "sig", F.posexplode("sig").alias("t", "head"))
-    return each.select(F.xxhash64("t", "head").alias("region"), F.element_at("sig", (F.col("t") + 1) % ORDERS + 1).alias("rest"), "member")
+    return each.select(F.xxhash64("t", "head").alias("region"), "t", F.element_at("sig", (F.col("t") + 1) % ORDERS + 1).alias("rest"), "member")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -193,7 +192,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     def run(stream):
         last = None
         for batch in stream:
-            region, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            region, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             if not len(region):
                 continue
             if last is not None:
@@ -203,7 +202,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
             x, y = member[same], member[same + 1]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
 
-    return rows.repartitionByRange("region", "rest", "member").sortWithinPartitions("region", "rest", "member").mapInArrow(run, PAIRS)
+    ordered = rows.select("region", "member", "rest").repartitionByRange("region", "rest", "member").sortWithinPartitions("region", "rest", "member")
+    return ordered.mapInArrow(run, PAIRS)
 
 
 def promising(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
@@ -253,54 +253,80 @@ def thinned(pairs: DataFrame) -> DataFrame:
     return picked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def across(rows: DataFrame, reps: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of documents of different components that share a region and may be links."""
+def _common(one: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Size of the intersection of a set with each of some others; all are ascending."""
+    slot = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    total = np.concatenate([[0], np.cumsum(one[slot] == values)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _search_block(members: pa.RecordBatch, s: Settings) -> tuple[list[int], list[int]]:
+    """Links between documents of different components in one block, one for each two components
+    that they join.  Components joined on the way are not compared any further.
+
+    Pairs that already met in an earlier order are left to the block there."""
+    order, heap, member, label, n = (members.column(i).to_numpy(zero_copy_only=False) for i in (1, 3, 4, 5, 6))
+    label, cross = label.copy(), members.column(2)[0].as_py()
+    heads = members.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, ORDERS)
+    values = heads.view(np.uint16).reshape(-1, VALUES)
+    edges = np.concatenate([[0], np.cumsum(members.column(8).value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = members.column(8).flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # ascending as such
+    src, dst = [], []
+    for i in range(len(member) - 1):
+        later = np.arange(i + 1, len(member))
+        fits = (label[later] != label[i]) & (100 * np.minimum(n[later], n[i]) >= s.percent * np.maximum(n[later], n[i]))
+        if cross:
+            fits &= heap[later] != heap[i]
+        later = later[fits]
+        if not len(later):
+            continue
+        equal = (values[later] == values[i]).sum(1)
+        good = (equal >= s.least_equal) & ~(heads[later, : order[i]] == heads[i, : order[i]]).any(1)
+        later = later[good][np.argsort(-equal[good], kind="stable")]
+        own, step = flat[edges[i] : edges[i + 1]], 8
+        while len(later):
+            some, later = later[:step], later[step:]
+            size = n[some]
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            pick = np.repeat(edges[some] - bounds[:-1], size) + np.arange(bounds[-1])
+            shared = _common(own, flat[pick], bounds)
+            linked = some[100 * shared >= s.percent * (size + n[i] - shared)]
+            for j in linked:
+                if label[j] != label[i]:
+                    src.append(member[i])
+                    dst.append(member[j])
+                    label[label == label[j]] = label[i]
+            later = later[label[later] != label[i]]
+            step *= 4
+    return src, dst
+
+
+def across(rows: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Links between documents of different components that share a region, as edges (src, dst).
+
+    Each document's set travels once to each block that it is searched in; pairs stay inside."""
     s = settings
-    named = rows.select("region", "member").join(labels, "member", "left").select("region", "member", F.coalesce("label", "member").alias("label"))
+    named = rows.select("region", "t", "member").join(labels, "member", "left").select("region", "t", "member", F.coalesce("label", "member").alias("label"))
     named = scratch.table(named, "named")
     mixed = named.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("region", "size")
     mixed = scratch.table(mixed, "mixed")
-    # the same documents often share several regions: one region for each set of members is enough
-    inside = named.join(mixed, "region").join(reps.select("member", "n", "sig"), "member")
+    inside = named.join(mixed, "region")
     heaps = F.ceil(F.col("size") / s.block).cast("int")
     own = F.pmod(F.xxhash64("member", "region"), heaps).cast("int")
-    dealt = inside.select("region", "member", "label", "n", "sig", own.alias("heap"), F.explode(F.sequence(F.lit(0), heaps - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("region", F.least("heap", "other"), F.greatest("heap", "other")).alias("block"), (F.col("heap") != F.col("other")).alias("cross"), "heap", "member", "label", "n", "sig")
-
-    def compare(batch: pa.RecordBatch):
-        if not batch.num_rows:
-            return
-        block, heap, member, label, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4, 5))
-        cross, sig = batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(6))
-        at, step = np.arange(len(block) - 1), 1
-        while len(at):
-            at = at[at + step < len(block)]
-            at = at[block[at] == block[at + step]]
-            i, j = at, at + step
-            fits = (label[i] != label[j]) & (~cross[i] | (heap[i] != heap[j])) & (100 * np.minimum(n[i], n[j]) >= s.percent * np.maximum(n[i], n[j]))
-            i, j = i[fits], j[fits]
-            equal = _equal_values(sig[i], sig[j])
-            good = equal >= s.least_equal
-            if good.any():
-                x, y = member[i[good]], member[j[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-            step += 1
+    dealt = inside.select("region", "t", "member", "label", own.alias("heap"), F.explode(F.sequence(F.lit(0), heaps - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("region", F.least("heap", "other"), F.greatest("heap", "other")).alias("block"), "t", (F.col("heap") != F.col("other")).alias("cross"), "heap", "member", "label")
+    loaded = dealt.join(reps.select("member", "n", "sig"), "member").join(sets, "member").select("block", "t", "cross", "heap", "member", "label", "n", "sig", "set")
 
     def run(stream):
-        held = None
-        for batch in stream:
-            if not batch.num_rows:
-                continue
-            table = batch if held is None else pa.concat_batches([held, batch])
-            block = table.column(0).to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(block != block[-1], False)) if block[0] == block[-1] else int(np.flatnonzero(block != block[-1])[-1]) + 1
-            if cut:
-                yield from compare(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None:
-            yield from compare(held)
+        for batch in vectors.grouped(stream):
+            src, dst = [], []
+            for a, b in vectors.runs(batch.column(0).to_numpy(zero_copy_only=False)):
+                x, y = _search_block(batch.slice(a, b - a), s)
+                src += x
+                dst += y
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, PAIRS).distinct()
+    return loaded.repartition("block").sortWithinPartitions("block").mapInArrow(run, "src long, dst long")
 
 
 def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -314,7 +340,7 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     rows = regions(reps, s)
     crowded = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("region")
-    rows = scratch.table(rows.join(crowded, "region", "left_semi").select("region", "rest", "member"), "regions")
+    rows = scratch.table(rows.join(crowded, "region", "left_semi").select("region", "t", "rest", "member"), "regions")
     near = rows.select("member").distinct()
     reps = scratch.table(reps.join(near, "member", "left_semi"), "reps")
 
@@ -323,8 +349,7 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sets = full_sets(docs, reps.select("th", "member", "n"), s)
     links = scratch.table(confirmed(tight, sets, s), "links")
     labels = scratch.table(star_contraction(links).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
-    more = across(rows, reps, labels, s).join(tight, ["a", "b"], "left_anti")
-    late = scratch.table(confirmed(scratch.table(more, "more"), sets, s), "late")
+    late = scratch.table(across(rows, reps, sets, labels, s), "late")
     if late.limit(1).count():
         labels = scratch.table(star_contraction(links.unionByName(late)).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
     placed = scratch.table(members.join(labels, "member", "left").select("row", "doc_id", "n", F.coalesce("label", "member").alias("label")), "placed")
