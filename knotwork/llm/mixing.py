@@ -270,6 +270,7 @@ def mix(docs: DataFrame, keys: dict[str, Column], settings: Settings = Settings(
     else:
         total = planned.agg(F.sum("target")).first()[0] or 0
         chosen = dealt(planned.select("rank", "source_size", "target"), settings, max(1, int(total // settings.block // settings.shard)))
+    chosen = scratch.table(chosen, "slots")  # real sizes: the planner can't guess how many slots a shard makes
     joined = chosen.join(pieces(sized, planned, rows, settings), ["rank", "block"])
     words = F.least(F.col("at") + F.col("length"), F.col("take")) - F.col("at")
     return Mix(sized, planned, joined.where(F.col("at") < F.col("take")).select("shard", "slot", "turn", "row", "start", words.alias("words")))
@@ -284,3 +285,19 @@ def shares(mixed: Mix) -> DataFrame:
         .join(plan_rows, F.col("source").eqNullSafe(F.col("_s")), "left")
         .select(*[c for c in mixed.sized.columns if c not in ("row", "source", "size")], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def applied(docs: DataFrame, settings: Settings = Settings(), weights: DataFrame | None = None) -> DataFrame:
+    """The mix as documents: docs' columns, a row for each pass that takes words of a document.  A
+    document that a pass takes whole keeps its text; of others ``text`` holds the words taken, in
+    order, joined by single spaces.  Documents that the mix takes nothing of have no row."""
+    key = F.xxhash64("doc_id", "text")
+    mixed = mix(docs, {"doc_key": key}, settings, weights)
+    run = F.struct("start", "words")
+    taken = mixed.taken.groupBy("row", "turn").agg(F.sort_array(F.collect_list(run)).alias("runs"), F.sum("words").alias("words"))
+    taken = taken.join(mixed.sized.select("row", "doc_key", "size"), "row").select(F.col("doc_key").alias("__key"), "runs", (F.col("words") == F.col("size")).alias("whole"))
+    word = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice("__words", (r["start"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    texts = docs.withColumn("__key", key).dropDuplicates(["__key"])
+    joined = texts.join(taken.select("__key", F.col("runs").alias("__runs"), F.col("whole").alias("__whole")), "__key")
+    return joined.withColumn("__words", F.when(~F.col("__whole"), word)).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(some)).select(*docs.columns)

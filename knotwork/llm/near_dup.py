@@ -330,7 +330,8 @@ def across(rows: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame,
 
 
 def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id and kept, and ``row``."""
+    """One row for each document: doc_id, n_shingles, component_id and kept; ``row`` tells the rows
+    apart and ``th`` is the text's hash."""
     s = settings
     table = features(docs, s)
     solid = table.where(F.col("n") > 0)
@@ -352,12 +353,18 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     late = scratch.table(across(rows, reps, sets, labels, s), "late")
     if late.limit(1).count():
         labels = scratch.table(star_contraction(links.unionByName(late)).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
-    placed = scratch.table(members.join(labels, "member", "left").select("row", "doc_id", "n", F.coalesce("label", "member").alias("label")), "placed")
+    placed = scratch.table(members.join(labels, "member", "left").select("row", "doc_id", "th", "n", F.coalesce("label", "member").alias("label")), "placed")
     heads = scratch.table(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "heads")
-    return placed.join(heads, "label").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return placed.join(heads, "label").select("row", "doc_id", "th", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs without the near-duplicates of a document that stays: of each group the smallest doc_id."""
-    gone = scratch.table(link(docs, settings).where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("__gone")).distinct(), "gone")
-    return docs.join(_few(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs with one document of each group: the one with the smallest doc_id.  Of rows that repeat
+    doc_id and text one stays.  All columns stay; texts are not shuffled unless too many go."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), _text_hash())
+    rows = scratch.table(link(docs, settings).select(F.xxhash64("doc_id", "th").alias("__key"), "kept"), "decided")
+    gone = scratch.table(rows.groupBy("__key").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("__key"), "gone")
+    again = scratch.table(rows.where("kept").groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "again")
+    left = docs.withColumn("__key", key).join(_few(gone), "__key", "left_anti")
+    once = left.join(_few(again), "__key", "left_anti").unionByName(left.join(_few(again), "__key", "left_semi").dropDuplicates(["__key"]))
+    return once.select(*docs.columns)

@@ -10,6 +10,7 @@ from knotwork.llm import lattice, neighbours, queries_map, queries_pairs, querie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": queries_pairs.op1_repeats,
+    "op10_preferences": queries_scan.op10_preferences,
     "op2_mixing": queries_scan.op2_mixing,
     "op3_near_dup": queries_pairs.op3_near_dup,
     "op4_secret_scan": queries_scan.op4_secret_scan,

@@ -10,7 +10,7 @@ from knotwork.llm.queries_map import read
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.link(read(spark, sf_dir, "documents"), near_dup.Settings(words=2)).drop("row")
+    return near_dup.link(read(spark, sf_dir, "documents"), near_dup.Settings(words=2)).drop("row", "th")
 
 
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
