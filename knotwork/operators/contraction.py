@@ -36,6 +36,24 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.xxhash64("dst", "src"))).first())
 
 
+ONE_TASK_EDGES = 1_000_000  # two longs each: 16 MB that a single task may merge
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("dst").alias("id")).distinct().withColumn("component", F.col("id"))
+    return stars.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(roots)
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """labels(id, component) as star_contraction, for edges that may be few: partition forests of at
+    most ``one_task`` edges in all are merged by one task in one go, larger ones contracted."""
+    plain = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
+    local = scratch.checkpoint(forests.forest(plain))
+    if local.count() > one_task:
+        return star_contraction(local)
+    return _with_roots(scratch.checkpoint(forests.forest(local.coalesce(1))))
+
+
 def star_contraction(edges: DataFrame, cap: int = 64) -> DataFrame:
     """labels(id, component) of every vertex that has an edge; edges(src, dst), any orientation,
     repeats and loops allowed.  A vertex whose only edges are loops is its own component."""
@@ -51,7 +69,5 @@ def star_contraction(edges: DataFrame, cap: int = 64) -> DataFrame:
         state = scratch.checkpoint(_small_star(_large_star(state).distinct()).distinct())
     else:
         raise NotConverged(f"star contraction: edges still changed after {cap} iterations")
-    stars = state.select(F.col("src").alias("id"), F.col("dst").alias("component"))
-    roots = state.select(F.col("dst").alias("id")).distinct().withColumn("component", F.col("id"))
-    known = stars.unionByName(roots)
+    known = _with_roots(state)
     return known.unionByName(loops.join(known, "id", "left_anti").withColumn("component", F.col("id")))
