@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm import tokens, vectors
-from knotwork.operators.contraction import star_contraction
+from knotwork.operators.contraction import components
 from knotwork.plans import forests, scratch
 
 
@@ -216,7 +216,7 @@ def link(frame: DataFrame, settings: Settings = Settings(), column: str = "embed
 
     found = scratch.table(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "src long, dst long, n long"), "found")
     degree = scratch.table(found.where("n > 0").groupBy(F.col("src").alias("member")).agg(F.sum("n").alias("others")), "degree")
-    labels = scratch.table(star_contraction(found.where("n = 0").select("src", "dst")).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
+    labels = scratch.table(components(found.where("n = 0").select("src", "dst")).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
     placed = scratch.table(members.join(degree, "member", "left").join(labels, "member", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "member").alias("label")), "placed")
     heads = scratch.table(placed.groupBy("label").agg(F.min("vec_id").alias("component_id")), "heads")
     return placed.join(heads, "label").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm import tokens, vectors
-from knotwork.operators.contraction import star_contraction
+from knotwork.operators.contraction import components
 from knotwork.plans import scratch
 
 VALUES, DEPTH = 64, 4
@@ -349,10 +349,10 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     tight = scratch.table(thinned(first), "thinned")
     sets = full_sets(docs, reps.select("th", "member", "n"), s)
     links = scratch.table(confirmed(tight, sets, s), "links")
-    labels = scratch.table(star_contraction(links).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
+    labels = scratch.table(components(links).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
     late = scratch.table(across(rows, reps, sets, labels, s), "late")
     if late.limit(1).count():
-        labels = scratch.table(star_contraction(links.unionByName(late)).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
+        labels = scratch.table(components(links.unionByName(late)).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
     placed = scratch.table(members.join(labels, "member", "left").select("row", "doc_id", "th", "n", F.coalesce("label", "member").alias("label")), "placed")
     heads = scratch.table(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "heads")
     return placed.join(heads, "label").select("row", "doc_id", "th", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
