@@ -29,7 +29,7 @@ from knotwork.llm.subwords import Terms, mean_by
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 3000  # labelled documents of each class that training uses at most
+    sample: int = 2000  # labelled documents of each class that training uses at most
     longest: int = 200_000  # characters of a training text at most; scoring has no limit
     window: int = 6  # terms
     buckets: int = 1 << 17
