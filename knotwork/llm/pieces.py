@@ -32,8 +32,8 @@ from knotwork.llm import tokens
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_REMEMBERED = 1 << 21  # chunks that a worker keeps
-_INDEXED = 1 << 19  # bytes of chunks that are indexed together
+_REMEMBERED = 1 << 20  # chunks that a worker keeps
+_INDEXED = 1 << 18  # bytes of chunks that are indexed together
 _WORDS = 8  # of 8 bytes each: the longest piece that fits
 
 
@@ -192,19 +192,20 @@ def segment(v: Vocabulary, text: np.ndarray, first: np.ndarray) -> tuple[np.ndar
     which = np.flatnonzero(v.usable)
     lo, hi = ranges(v, order, word, which)
     count = hi - lo
-    start = order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-    piece = np.repeat(which, count)
+    start = order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())].astype(np.int32)
+    piece = np.repeat(which.astype(np.int32), count)
     single = v.order[piece] == 0
     strange = heads.copy()
     strange[start[single]] = False
     strange = np.flatnonzero(strange)  # characters outside the vocabulary
     head_at = np.append(np.flatnonzero(heads | (text == 0) & ~heads), len(text))
     strange_end = head_at[np.searchsorted(head_at, strange, side="right")] if len(strange) else strange
-    start, stop = np.concatenate([start, strange]), np.concatenate([start + v.size[piece], strange_end])
-    piece = np.concatenate([piece, np.full(len(strange), v.unknown)])
-    owner = np.searchsorted(first, start, side="right") - 1
-    step = stop - first[owner]
-    by = np.argsort(step, kind="stable")
+    size = v.size.astype(np.int32)
+    start, stop = np.concatenate([start, strange.astype(np.int32)]), np.concatenate([start + size[piece], strange_end.astype(np.int32)])
+    piece = np.concatenate([piece, np.full(len(strange), v.unknown, np.int32)])
+    head = np.repeat(first[:-1], np.diff(first)).astype(np.int32)  # of each position's chunk
+    step = stop - head[start]
+    by = np.argsort(step, kind="stable").astype(np.int32)
     start, stop, piece, step = start[by], stop[by], piece[by], step[by]
     last = np.full(len(text) + 1, -1, np.int64)
     last[first[:-1]] = -2
@@ -215,7 +216,7 @@ def segment(v: Vocabulary, text: np.ndarray, first: np.ndarray) -> tuple[np.ndar
         before = before[live]
         good = before == -2
         inner = np.flatnonzero(~good)
-        good[inner] = stays(v, before[inner], piece[a:b][live[inner]])
+        good[inner] = stays(v, before[inner], piece[a:b][live[inner]].astype(np.int64))
         chosen = live[good] + a
         # the chunk's own start is never overwritten: an edge ends after it
         last[stop[chosen]] = piece[chosen]
@@ -347,22 +348,28 @@ def _encoder(path: str, vocabulary: Vocabulary) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame:
-    """docs with one more column, the piece ids of ``text`` (array of int)."""
-    base = docs.drop(column)
+def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", verify: str | None = None) -> DataFrame:
+    """docs with one more column, the piece ids of ``text`` (array of int); with ``verify`` another
+    one of that name, whether decoding them gives the text back (null for null texts)."""
+    base = docs.drop(column, *([verify] if verify else []))
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # the model: bounded by its file
-    schema = T.StructType([*base.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(column, T.ArrayType(T.IntegerType()))] + ([T.StructField(verify, T.BooleanType())] if verify else [])
+    schema = T.StructType([*base.schema.fields, *added])
 
     def run(stream):
         encoder = _encoder(path, shared.value)
         for batch in stream:
-            for part in tokens.batches(batch, "text"):
+            for part in tokens.batches(batch, "text", 2 << 20):
                 texts = part.column(part.schema.get_field_index("text"))
                 ids, bounds = encoder.encode(texts)
+                same = []
+                if verify:
+                    back = pa.array(decode(shared.value, ids, bounds), pa.string())
+                    same = [pc.equal(back, pc.replace_substring(texts, MARK, " "))]
                 made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 if texts.null_count:
                     made = pc.if_else(texts.is_null(), pa.scalar(None, made.type), made)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, made, *same], names=[*part.schema.names, *(f.name for f in added)])
 
     return base.mapInArrow(run, schema)
 
