@@ -368,3 +368,22 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     left = docs.withColumn("__key", key).join(_few(gone), "__key", "left_anti")
     once = left.join(_few(again), "__key", "left_anti").unionByName(left.join(_few(again), "__key", "left_semi").dropDuplicates(["__key"]))
     return once.select(*docs.columns)
+
+
+def oracle(words: int, percent: int = 80) -> str:
+    """The same in DuckDB SQL, by counting the shingles that all pairs of documents share."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i : i + {words - 1}], ' ') AS sh FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+k AS (SELECT s.r, sh, n FROM s JOIN n USING (r)),
+p AS (SELECT x.r AS a, y.r AS b, x.n AS na, y.n AS nb, count(*) AS c FROM k x JOIN k y ON x.sh = y.sh AND x.r < y.r AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= {percent} * (na + nb - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+cc(node, label) USING KEY (node) AS (
+  SELECT r, r FROM t UNION
+  SELECT e.a, min(q.label) FROM cc q JOIN e ON e.b = q.node JOIN recurring.cc o ON o.node = e.a GROUP BY e.a HAVING min(q.label) < min(o.label)),
+m AS (SELECT label, min(doc_id) AS component_id FROM cc JOIN t ON r = node GROUP BY label)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM t JOIN cc ON node = t.r JOIN m USING (label) LEFT JOIN n ON n.r = t.r"""

@@ -231,3 +231,16 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     left = F.filter(word, lambda w, i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i < c["stop"])))
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     return keyed.join(cuts, "__doc", "left").withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(*docs.columns)
+
+
+def oracle(passage: int = 50) -> str:
+    """The same spans in DuckDB SQL, from all windows of all documents."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + {passage}], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(0, len(w) - {passage - 1})) AS i FROM t WHERE len(w) >= {passage})),
+o AS (SELECT win, min(doc_id) AS first FROM p GROUP BY win HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT DISTINCT doc_id, i, doc_id <> first AS copy FROM p JOIN o USING (win)),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, copy ORDER BY i) <= {passage} THEN 0 ELSE 1 END AS brk FROM c),
+r AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, copy ORDER BY i) AS run FROM g)
+SELECT doc_id, min(i) AS start, max(i) + {passage} AS stop, copy FROM r GROUP BY doc_id, copy, run"""
