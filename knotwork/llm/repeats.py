@@ -144,9 +144,9 @@ def shared_suffixes(sorted_rows: DataFrame) -> DataFrame:
         sorted_rows.repartitionByRange("anchor", "doc", "pos").sortWithinPartitions("anchor", "doc", "pos").mapInArrow(run, "kind int, anchor long, doc long, pos int, high long"),
         "shared",
     )
-    ends = found.where("kind = 3").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("high").alias("top")).where("low <> top").select("anchor")
-    waiting = found.where("kind = 2").join(F.broadcast(ends), "anchor", "left_semi")  # ends: at most two rows a partition
-    return found.where("kind = 1").select("doc", "pos").unionByName(waiting.select("doc", "pos"))
+    ends = found.where("kind = 3").groupBy("anchor").agg(F.min("doc").alias("low"), F.max("high").alias("top")).where("low <> top").select("anchor", F.lit(True).alias("met"))
+    known = found.where("kind <> 3").join(F.broadcast(ends), "anchor", "left")  # ends: at most two rows a partition
+    return known.where("kind = 1 OR met").select("doc", "pos")
 
 
 def windows(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
