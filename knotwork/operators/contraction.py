@@ -7,7 +7,7 @@ forests inside partitions.  The loop ends when the edge set no longer changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from knotwork.plans import forests, scratch
@@ -30,10 +30,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where(F.col("dst") != F.col("low")).select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.select(F.col("hub").alias("src"), F.col("low").alias("dst")))
 
 
-def _digest(edges: DataFrame) -> tuple:
-    # several sums of independent hashes: a changed edge set cannot keep all of them but by chance of 2^-64
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges checkpointed, and their digest from the same job: their number and two sums of
+    independent hashes, which a changed edge set keeps only by a chance of about 2^-64."""
+    seen = Observation()
     h = F.xxhash64("src", "dst")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.xxhash64("dst", "src"))).first())
+    state = scratch.checkpoint(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("dst", "src")).alias("x")))
+    return state, tuple(seen.get[k] for k in ("n", "s", "x"))
 
 
 ONE_TASK_EDGES = 1_000_000  # two longs each: 16 MB that a single task may merge
@@ -59,14 +62,14 @@ def star_contraction(edges: DataFrame, cap: int = 64) -> DataFrame:
     repeats and loops allowed.  A vertex whose only edges are loops is its own component."""
     plain = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     loops = plain.where("src = dst").select(F.col("src").alias("id")).distinct()
-    state = scratch.checkpoint(forests.forest(plain.where("src <> dst")).distinct())
-    last = None
+    state, last = _stored(forests.forest(plain.where("src <> dst")).distinct())
     for _ in range(cap):
-        now = _digest(state)
-        if now == last or now[0] == 0:
+        if not last[0]:
+            break
+        state, now = _stored(_small_star(_large_star(state).distinct()).distinct())
+        if now == last:
             break
         last = now
-        state = scratch.checkpoint(_small_star(_large_star(state).distinct()).distinct())
     else:
         raise NotConverged(f"star contraction: edges still changed after {cap} iterations")
     known = _with_roots(state)
