@@ -45,16 +45,34 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
         atexit.register(sweep)
     _made[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def written() -> set[str]:
+    """The tables that exist now; pass it to ``release`` later."""
+    return set(_made)
+
+
+def release(before: set[str], *keep: DataFrame) -> None:
+    """Delete the tables written since ``before``, but for those given: what an operator's result
+    no longer reads once its last tables are written."""
+    kept = {df._scratch for df in keep}
+    for path in [p for p in _made if p not in before and p not in kept]:
+        _delete(path, _made.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sweep() -> None:
-    """Delete the tables written by this driver."""
+    """Delete the tables that this driver has left."""
     while _made:
         path, spark = _made.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path, spark)
         except Exception:  # noqa: BLE001  the session may be gone at exit; the folder then stays
             continue

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import summaries
 from knotwork.operators import afforest, hooking, partitioning, propagation, structure, unionfind
 from knotwork.operators.contraction import components, star_contraction
-from knotwork.plans import graphs
+from knotwork.plans import graphs, scratch
 from knotwork.plans.fixpoint import NotConverged
 from knotwork.plans.graphs import BadGraph, Graph
 from knotwork.sources import generator, matrix_market
@@ -209,3 +209,13 @@ def test_stream_of_edges(spark):
     truth = labels_of(n, edges)
     got = {r["id"]: r["component"] for r in state.labels.collect()}
     assert got == {v: truth[v] for v in {x for e in edges for x in e}}
+
+
+def test_scratch_tables_are_released(spark):
+    before = scratch.written()
+    one, two = scratch.table(spark.range(3), "one"), scratch.table(spark.range(4), "two")
+    assert len(scratch.written() - before) == 2
+    scratch.release(before, two)
+    assert len(scratch.written() - before) == 1 and two.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(one._scratch).count()
