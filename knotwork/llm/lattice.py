@@ -167,7 +167,7 @@ def _block(batch: pa.RecordBatch, size: int, s: Settings):
 
 def link(frame: DataFrame, settings: Settings = Settings(), column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of frame(vec_id, <column>)."""
-    s = settings
+    s, before = settings, scratch.written()
     size = vectors.common_size(frame, column)
     table = vectors.stored(frame, size, column)
     usable = table.where("ok")
@@ -219,6 +219,7 @@ def link(frame: DataFrame, settings: Settings = Settings(), column: str = "embed
     labels = scratch.table(components(found.where("n = 0").select("src", "dst")).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
     placed = scratch.table(members.join(degree, "member", "left").join(labels, "member", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "member").alias("label")), "placed")
     heads = scratch.table(placed.groupBy("label").agg(F.min("vec_id").alias("component_id")), "heads")
+    scratch.release(before, placed, heads)
     return placed.join(heads, "label").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

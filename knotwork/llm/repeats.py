@@ -189,7 +189,7 @@ def windows(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
 def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, start, stop (words, stop exclusive), copy: the maximal repeated spans.  copy is false
     for the parts that no document with a smaller doc_id has, true for later copies."""
-    s = settings
+    s, before = settings, scratch.written()
     places = shared_suffixes(scratch.table(suffixes(docs, s), "suffixes"))
     table = windows(docs, places, s)
     each = table.select("doc", F.explode("win").alias("win"))
@@ -197,6 +197,7 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # a document's windows that are its own alone, and those of which it has the first copy
     own = owners.groupBy("doc").agg(F.collect_list(F.when(F.col("doc") == F.col("top"), F.col("win"))).alias("alone"), F.collect_list(F.when(F.col("doc") != F.col("top"), F.col("win"))).alias("firsts"))
     own = scratch.table(own, "own")
+    scratch.release(before, table, own)
 
     def run(stream):
         for batch in stream:
