@@ -11,7 +11,7 @@ from knotwork.operators.contraction import components, star_contraction
 from knotwork.plans import graphs, scratch
 from knotwork.plans.fixpoint import NotConverged
 from knotwork.plans.graphs import BadGraph, Graph
-from knotwork.sources import generator, matrix_market
+from knotwork.sources import generator, matrix_market, sinks
 from knotwork.streaming import incremental
 
 SHAPES = {
@@ -219,3 +219,12 @@ def test_scratch_tables_are_released(spark):
     assert len(scratch.written() - before) == 1 and two.count() == 4
     with pytest.raises(Exception):
         spark.read.parquet(one._scratch).count()
+
+
+def test_reports_and_stored_labels(spark, tmp_path):
+    g = graph_of(spark, *SHAPES["bundled"])
+    labels = SOLVERS["tree_merge"](g)
+    assert sinks.graph_report(g) == "vertices 6\nedges 5\ndegree average 1.67, smallest 1, largest 2"
+    assert sinks.component_report(labels) == "components 2\nsize average 3.00, smallest 3, largest 3"
+    sinks.write_labels(labels, str(tmp_path / "labels"))
+    assert summaries.same_partition(labels, spark.read.parquet(str(tmp_path / "labels")))
