@@ -11,6 +11,8 @@ import pyarrow as pa
 
 from knotwork.llm import tokens
 
+_AT_ONCE = 1 << 14  # terms
+
 _TERM = np.zeros(256, dtype=bool)
 _TERM[0x41:0x5B] = _TERM[0x61:0x7B] = True
 _TERM[0x80:] = True
@@ -49,9 +51,18 @@ class Terms:
     def features(self, shortest: int, longest: int, buckets: int, affixes: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(feature ids, first feature of each distinct term): the whole term, its n-grams of
         ``shortest`` to ``longest`` bytes between end marks, and, marked as such, its first and
-        last 1 to ``affixes`` bytes.  The ids lie below ``buckets``."""
-        n = len(self.starts)
-        size = (self.ends - self.starts) + 2
+        last 1 to ``affixes`` bytes.  The ids lie below ``buckets``.  Made for some terms at a time,
+        as the hashes take far more memory than the ids."""
+        made = [self._features(a, a + _AT_ONCE, shortest, longest, buckets, affixes) for a in range(0, len(self.starts), _AT_ONCE)]
+        if not made:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        return np.concatenate([ids for ids, _ in made]), np.concatenate([[0], np.cumsum(np.concatenate([count for _, count in made]))])
+
+    def _features(self, a: int, b: int, shortest: int, longest: int, buckets: int, affixes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each term's features) of terms a to b."""
+        starts, ends, hashes = self.starts[a:b], self.ends[a:b], self.hashes[a:b]
+        n = len(starts)
+        size = (ends - starts) + 2
         first = np.zeros(n + 1, np.int64)
         np.cumsum(size, out=first[1:])
         owner = np.repeat(np.arange(n), size)
@@ -59,10 +70,10 @@ class Terms:
         marked = np.zeros(first[-1], np.uint8)
         marked[first[:-1]], marked[first[1:] - 1] = ord("<"), ord(">")
         body = (inside > 0) & (inside < size[owner] - 1)
-        marked[body] = tokens._LOWER[self.raw[(self.starts[owner] + inside - 1)[body]]]
+        marked[body] = tokens._LOWER[self.raw[(starts[owner] + inside - 1)[body]]]
         left = size[owner] - inside
         byte = tokens._BYTE[marked]
-        ids, owners = [self.hashes], [np.arange(n)]
+        ids, owners = [hashes], [np.arange(n)]
         gram = byte
         for k in range(2, longest + 1):
             gram = tokens.mix64(gram[: len(byte) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + byte[k - 1 :])
@@ -77,7 +88,7 @@ class Terms:
                     owners.append(owner[: len(gram)][at])
         ids, owners = np.concatenate(ids), np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
-        return (ids[order] % np.uint64(buckets)).astype(np.int32), np.searchsorted(owners[order], np.arange(n + 1))
+        return (ids[order] % np.uint64(buckets)).astype(np.int32), np.bincount(owners, minlength=n)
 
 
 def mean_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
