@@ -73,10 +73,14 @@ def screened(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def unseen(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
     """(blob, rule, version, body) of each pair that the ledger does not hold."""
     blobs = paths.where(F.col("body").isNotNull()).groupBy("blob").agg(F.first("body").alias("body"))
-    pairs = blobs.select("blob", "body", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])).alias("r")).select("blob", "r.rule", "r.version", "body")
+    every = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
-        return pairs
-    return pairs.join(ledger.select("blob", "rule", "version").distinct(), ["blob", "rule", "version"], "left_anti")
+        work = blobs.withColumn("todo", every)
+    else:  # pairs are compared without their texts, which then join once a blob
+        known = ledger.select("blob", "rule", "version").distinct()
+        fresh = blobs.select("blob", F.explode(every).alias("r")).select("blob", "r.rule", "r.version").join(known, ["blob", "rule", "version"], "left_anti")
+        work = blobs.join(fresh.groupBy("blob").agg(F.collect_list(F.struct("rule", "version")).alias("todo")), "blob")
+    return work.select("blob", "body", F.explode("todo").alias("r")).select("blob", "r.rule", "r.version", "body")
 
 
 def matches(pairs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
