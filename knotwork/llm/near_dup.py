@@ -329,10 +329,9 @@ def across(rows: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame,
     return loaded.repartition("block").sortWithinPartitions("block").mapInArrow(run, "src long, dst long")
 
 
-def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id and kept; ``row`` tells the rows
-    apart and ``th`` is the text's hash."""
-    s, before = settings, scratch.written()
+def placed(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(row, doc_id, th, n, label): each document with its group's label, a stored table."""
+    s = settings
     table = features(docs, s)
     solid = table.where(F.col("n") > 0)
     twins = scratch.table(solid.groupBy("fp1", "fp2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("fp1", "fp2", "rep"), "twins")
@@ -353,20 +352,33 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     late = scratch.table(across(rows, reps, sets, labels, s), "late")
     if late.limit(1).count():
         labels = scratch.table(components(links.unionByName(late)).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
-    placed = scratch.table(members.join(labels, "member", "left").select("row", "doc_id", "th", "n", F.coalesce("label", "member").alias("label")), "placed")
-    heads = scratch.table(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "heads")
-    scratch.release(before, placed, heads)
-    return placed.join(heads, "label").select("row", "doc_id", "th", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return scratch.table(members.join(labels, "member", "left").select("row", "doc_id", "th", "n", F.coalesce("label", "member").alias("label")), "placed")
+
+
+def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id and kept; ``row`` tells the rows
+    apart and ``th`` is the text's hash.  All rows with a group's smallest doc_id have ``kept``."""
+    before = scratch.written()
+    rows = placed(docs, settings)
+    heads = scratch.table(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "heads")
+    scratch.release(before, rows, heads)
+    return rows.join(heads, "label").select("row", "doc_id", "th", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id.  Of rows that repeat
+    """docs with one document of each group: the one with the smallest doc_id, of several such (or
+    where no row of the group has an id) the one with the smallest text hash.  Of rows that repeat
     doc_id and text one stays.  All columns stay; texts are not shuffled unless too many go."""
     before = scratch.written()
     key = F.xxhash64(F.col("doc_id").cast("long"), _text_hash())
-    rows = scratch.table(link(docs, settings).select(F.xxhash64("doc_id", "th").alias("__key"), "kept"), "decided")
-    gone = scratch.table(rows.groupBy("__key").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("__key"), "gone")
-    again = scratch.table(rows.where("kept").groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "again")
+    rows = placed(docs, settings)
+    chosen = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("c"))
+    votes = rows.select(F.xxhash64("doc_id", "th").alias("__key"), F.lit(1).alias("n"), F.lit(False).alias("stays")).unionByName(
+        chosen.select(F.xxhash64("c.doc_id", "c.th").alias("__key"), F.lit(0).alias("n"), F.lit(True).alias("stays"))
+    )
+    decided = scratch.table(votes.groupBy("__key").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("NOT stays OR n > 1"), "decided")
+    gone = scratch.table(decided.where("NOT stays").select("__key"), "gone")
+    again = scratch.table(decided.where("stays").select("__key"), "again")
     scratch.release(before, gone, again)
     left = docs.withColumn("__key", key).join(_few(gone), "__key", "left_anti")
     once = left.join(_few(again), "__key", "left_anti").unionByName(left.join(_few(again), "__key", "left_semi").dropDuplicates(["__key"]))

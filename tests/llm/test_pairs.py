@@ -82,6 +82,20 @@ def test_keep_one_keeps_whole_rows(make_docs, prose):
     assert sorted(map(str, ids)) == sorted(str(r[0]) for r in linked)
 
 
+def test_keep_one_keeps_one_of_each_group(make_docs, prose):
+    versions = lambda seed, n: [f"{prose(150, seed)} v{i}" for i in range(n)]
+    rows = [(5, t) for t in versions(700, 4)] + [(6, t) for t in versions(700, 2)]  # the smallest id on several texts
+    rows += [(None, t) for t in versions(701, 4)] + [(None, versions(701, 1)[0])]  # no id, one text twice
+    rows += [(None, t) for t in versions(702, 3)] + [(9, versions(702, 4)[3])]  # an id goes before none
+    rows += [(None, prose(150, 703)), (5, prose(150, 704)), (5, None), (None, "")]  # alone, each
+    out = near_dup.keep_one(make_docs(rows)).select("doc_id", "text").collect()
+    groups = defaultdict(list)
+    for r in out:
+        groups[(r["text"] or "").rsplit(" v", 1)[0]].append(r["doc_id"])
+    assert groups == {prose(150, 700): [5], prose(150, 701): [None], prose(150, 702): [9], prose(150, 703): [None], prose(150, 704): [5], "": groups[""]}
+    assert sorted(groups[""], key=str) == [5, None]
+
+
 def test_mixed_regions_are_searched_in_parts(make_docs, prose):
     rows = corpus(prose)
     one = near_dup.link(make_docs(rows), near_dup.Settings(words=2))
