@@ -10,7 +10,13 @@ text, and that mean is its score.
 A long text is cut into runs of ``run`` terms.  Each run is first reduced to its transfer
 matrix, the runs' matrices are chained, and then all runs are solved at once with their exact
 messages from both sides, so that a text of any length is solved exactly in a bounded number of
-vectorised steps.
+vectorised steps.  Transfer matrices cost the languages cubed at every term, so with more than
+``_WIDE`` of them the messages are passed term by term, all texts of a batch at once; the result
+is the same.
+
+Every language outside the held-out fold is learned, however many there are.  What is bounded is
+their sample (``documents`` and ``characters`` in all, divided evenly) and the weights: beyond 128
+languages features share fewer buckets.  Time a term grows with the square of the languages.
 
 Defined results: null texts and texts without a letter get ``und`` and the score 0.0; ties go
 to the language that sorts first; without labelled rows everything is ``und``; with one
@@ -20,7 +26,7 @@ labelled; extra columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +37,22 @@ from knotwork.llm import sampling, tokens
 from knotwork.llm.subwords import Terms, mean_by
 
 UNKNOWN = "und"
+_WIDE = 16  # languages
 
 
 @dataclass(frozen=True)
 class Settings:
     sample: int = 600  # labelled documents of each language that training uses at most
-    languages: int = 200  # most frequent languages that are learned at most
-    longest: int = 100_000  # characters of a training text at most; labelling has no limit
+    documents: int = 24_000  # of all languages together, one each at least
+    longest: int = 100_000  # characters of a training text that are read; labelling has no limit
+    characters: int = 240_000_000  # of all training texts together
     buckets: int = 1 << 17
+    cells: int = 1 << 24  # buckets times languages at most, down to 1024 buckets
     shortest_gram: int = 2
     longest_gram: int = 4
     affixes: int = 3
-    sequences: int = 6000
+    sequences: int = 6000  # or ``quota`` times the languages, if that is more
+    quota: int = 30
     length: int = 24  # terms of a training sequence
     stay: float = 0.9  # chance that a training sequence goes on in its language
     epochs: int = 3
@@ -63,7 +73,14 @@ class Model:
 def _emissions(terms: Terms, weight: np.ndarray, s: Settings) -> np.ndarray:
     """(distinct terms, languages)"""
     ids, first = terms.features(s.shortest_gram, s.longest_gram, s.buckets, s.affixes)
-    return mean_by(weight[ids], first)
+    return _means(weight, ids, first)
+
+
+def _means(weight: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """mean_by(weight[ids], first), for some languages at a time."""
+    if not len(ids):
+        return np.zeros((0, weight.shape[1]), weight.dtype)
+    return np.concatenate([mean_by(weight[:, a : a + _WIDE][ids], first) for a in range(0, weight.shape[1], _WIDE)], axis=1)
 
 
 def _messages(e: np.ndarray, trans: np.ndarray, start: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +102,7 @@ def _messages(e: np.ndarray, trans: np.ndarray, start: np.ndarray, alive: np.nda
     for i in range(t - 1, 0, -1):
         ahead = e[:, i] * back / scale[:, i, None]
         use = alive[:, i]
-        moved += np.einsum("ni,nj->ij", forward[use, i - 1], ahead[use]) * trans
+        moved += (forward[use, i - 1].T @ ahead[use]) * trans
         back = np.where(use[:, None], ahead @ trans.T, back)
         post[:, i - 1] = forward[:, i - 1] * back
     return post / post.sum(2, keepdims=True), moved
@@ -97,6 +114,7 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
     k = len(names)
     if k < 2:
         return Model(names, np.zeros((1, max(k, 1))), np.zeros((k, k)), np.zeros(k), s)
+    s = replace(s, buckets=min(s.buckets, 1 << max(10, (s.cells // k).bit_length() - 1)), sequences=max(s.sequences, s.quota * k))
     rng = np.random.default_rng(s.seed)
     terms = Terms(pa.array(texts, pa.string()))
     ids, first = terms.features(s.shortest_gram, s.longest_gram, s.buckets, s.affixes)
@@ -126,7 +144,7 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
             inverse = inverse.reshape(len(rows), s.length)
             own = np.repeat(first[used] - np.concatenate([[0], np.cumsum(count[used])[:-1]]), count[used]) + np.arange(count[used].sum())
             grams, bounds = ids[own], np.concatenate([[0], np.cumsum(count[used])])
-            score = mean_by(weight[grams], bounds)[inverse]
+            score = _means(weight, grams, bounds)[inverse]
             e = np.exp(score - score.max(2, keepdims=True))
             post, moved = _messages(e, np.exp(trans), np.exp(start), alive[: len(rows)])
             hit = np.zeros((k, k))
@@ -139,9 +157,12 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
             by_gram = np.argsort(grams, kind="stable")
             new = np.flatnonzero(np.diff(grams[by_gram], prepend=-1))
             touched = grams[by_gram][new]
-            g = np.add.reduceat(np.repeat(per_kind, count[used], axis=0)[by_gram], new, axis=0) + 1e-6 * weight[touched]
-            seen[touched] += g**2
-            weight[touched] -= s.rate * g / np.sqrt(seen[touched])
+            owner = np.repeat(np.arange(len(used)), count[used])[by_gram]
+            for c in range(0, k, _WIDE):
+                w, past = weight[:, c : c + _WIDE], seen[:, c : c + _WIDE]
+                g = np.add.reduceat(per_kind[:, c : c + _WIDE][owner], new, axis=0) + 1e-6 * w[touched]
+                past[touched] += g**2
+                w[touched] -= s.rate * g / np.sqrt(past[touched])
             trans_seen += g_trans**2
             trans -= 0.1 * g_trans / np.sqrt(trans_seen)
     return Model(names, weight.astype(np.float32), trans, start, s)
@@ -213,6 +234,46 @@ def posteriors(model: Model, emission: np.ndarray, first: np.ndarray) -> np.ndar
     return forward / forward.sum(1, keepdims=True)
 
 
+def totals(model: Model, emission: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the posteriors of each text's positions; emission: (distinct terms, languages).
+
+    Term by term, all texts at once.  The messages from the left are stored at every ``run``-th
+    position and made again from there on the way back."""
+    run, k = model.settings.run, emission.shape[1]
+    size = np.diff(first)
+    by = np.argsort(-size, kind="stable")  # longest first: those still alive are a prefix
+    width = int(size.max()) if len(size) else 0
+    alive = np.searchsorted(-size[by], -np.arange(width), side="left")
+    origin = first[:-1][by]
+    e = np.exp(emission - emission.max(1, keepdims=True, initial=-np.inf)).astype(np.float64)
+    trans, start = np.exp(model.transition), np.exp(model.start)
+
+    def ahead(a, i):
+        a = (a[: alive[i]] @ trans if i else np.broadcast_to(start, (alive[0], k))) * e[kind[origin[: alive[i]] + i]]
+        return a / a.sum(1, keepdims=True)
+
+    stored, a = [], np.zeros((0, k))
+    for i in range(width):
+        if i % run == 0:
+            stored.append(a[: alive[i]])
+        a = ahead(a, i)
+    out, back = np.zeros((len(size), k)), np.ones((len(size), k))
+    while stored:
+        a, at, forward = stored.pop(), len(stored) * run, []
+        for i in range(at, min(at + run, width)):
+            a = ahead(a, i)
+            forward.append(a)
+        for i in range(at + len(forward) - 1, at - 1, -1):
+            m = alive[i]
+            post = forward.pop() * back[:m]
+            out[:m] += post / post.sum(1, keepdims=True)
+            step = (e[kind[origin[:m] + i]] * back[:m]) @ trans.T
+            back[:m] = step / step.sum(1, keepdims=True)
+    whole = np.empty_like(out)
+    whole[by] = out
+    return whole
+
+
 def label_terms(model: Model, column: pa.Array) -> tuple[np.ndarray, Terms]:
     """Posteriors of all terms of a column, text after text, and the terms."""
     terms = Terms(column)
@@ -228,21 +289,29 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
         return [UNKNOWN] * n, np.zeros(n)
     if len(model.languages) == 1:
         return model.languages * n, np.ones(n)
-    post, terms = label_terms(model, column)
-    total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, axis=0)])
-    size = np.diff(terms.first)
-    mean = (total[terms.first[1:]] - total[terms.first[:-1]]) / np.maximum(size, 1)[:, None]
+    if len(model.languages) > _WIDE:
+        terms = Terms(column)
+        summed = totals(model, _emissions(terms, model.emission, model.settings), terms.kind, terms.first)
+    else:
+        post, terms = label_terms(model, column)
+        total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, axis=0)])
+        summed = total[terms.first[1:]] - total[terms.first[:-1]]
+    mean = summed / np.maximum(np.diff(terms.first), 1)[:, None]
     best = mean.argmax(1)
     return [model.languages[j] for j in best], np.clip(mean[np.arange(n), best], 0.0, 1.0)
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), folds: int = 5, held_out: int = 0) -> Model:
-    """Fit on at most ``settings.sample`` documents of each language outside the held-out fold."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (sampling.crc_fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()]
-    marked = {i: name for name in sorted(common, reverse=True) for i in sampling.smallest_by_hash(rows.where(F.col("lang") == name), "doc_id", settings.sample)}
-    found = sampling.fetch_texts(docs, list(marked), settings.longest)
-    return fit([t for _, t in found], [marked[i] for i, _ in found], settings)
+    """Fit on at most ``settings.sample`` documents of each language outside the held-out fold, of
+    those whose text has a letter."""
+    s = settings
+    labelled = docs.select(F.col("lang").cast("string").alias("label"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    labelled = labelled.where(F.col("label").isNotNull() & F.col("key").isNotNull() & F.col("text").rlike(r"\p{L}") & (sampling.crc_fold(F.col("key"), folds) != held_out))
+    rows = labelled.select("label", "key")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    picked = sampling.smallest_of_each(rows, counts, max(1, min(s.sample, s.documents // max(len(counts), 1))))
+    found = sampling.fetch_labelled(labelled, picked, min(s.longest, max(1, s.characters // max(len(picked), 1))))
+    return fit([text for _, text, _ in found], [label for *_, label in found], s)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,11 +319,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     base = docs.drop("lang_pred", "score").withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x languages numbers
     out = base.drop("__letters")
+    size = max(1 << 16, (4 << 20) * _WIDE // max(_WIDE, len(model.languages)))
     schema = out.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def run(stream):
         for batch in stream:
-            for part in tokens.batches(batch, "text", 4 << 20):
+            for part in tokens.batches(batch, "text", size):
                 letters = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
                 names, score = predict(shared.value, part.column(part.schema.get_field_index("text")))
                 names = [x if ok else UNKNOWN for x, ok in zip(names, letters)]

@@ -1,12 +1,13 @@
 """Scores and pieces: held-out accuracy, exactness against the model's own library, odd input."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from knotwork.llm import language_id, pieces, toxicity
+from knotwork.llm import language_id, pieces, sampling, toxicity
 
 CLEAN = ["the tree stands by the river", "der Baum steht am Fluss", "we walk home", "sie gehen nach Hause und schlafen"]
 
@@ -125,6 +126,51 @@ def test_languages_over_a_table(make_docs):
     assert language_id.identify(docs.where("false"), trained).count() == 0
 
 
+def test_every_language_is_learned(make_docs):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    names = [f"l{i:03}" for i in range(205)]  # the last three are the rarest
+    own = {n: [word() for _ in range(4)] for n in names}
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 5)
+    say = lambda n, size: " ".join(rng.choice(own[n]) for _ in range(size))
+    rows = [(next(ids), say(n, 12), n) for n in names for _ in range(1 if n > "l201" else 2)]
+    docs = make_docs(rows)
+    trained = language_id.train(docs, language_id.Settings(epochs=1))
+    assert trained.languages == names
+    asked = [(i, say(n, 9), n) for i, n in enumerate(["l000", "l100", "l202", "l203", "l204"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(make_docs(asked), trained).collect()}
+    assert got == {i: n for i, _, n in asked}
+
+
+def test_languages_of_long_texts_only_are_learned(make_docs):
+    rng = random.Random(8)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, spoken(n, 90 if n == "fr" else 8, rng), n) for i, n in zip(ids, list(LANGUAGES) * 30)]
+    rows += [(i, "12 34", "xx") for i in ids[100:103]] + [(ids[0], "slova jiná řeč", "cs")]  # the id of another language's document
+    trained = language_id.train(make_docs(rows), language_id.Settings(sample=20, longest=200, sequences=600))
+    assert trained.languages == ["cs", "de", "en", "fr"]
+    assert language_id.predict(trained, pa.array([spoken("fr", 500, rng)]))[0] == ["fr"]
+
+
+def test_samples_of_each_label_are_the_smallest_hashes(spark):
+    rows = [("a", i) for i in range(3000)] + [("b", i % 7) for i in range(3000)] + [("c", 5)]
+    frame = spark.createDataFrame(rows, "label string, key long")
+    got = sampling.smallest_of_each(frame, {"a": 3000, "b": 3000, "c": 1}, 10)
+    for label in "abc":
+        assert [k for n, k in got if n == label] == sampling.smallest_by_hash(frame.where(f"label = '{label}'"), "key", 10)
+
+
+def test_totals_equal_summed_posteriors():
+    rng = np.random.default_rng(6)
+    size, k = [0, 1, 5, 300, 40, 0, 17], 20
+    first = np.concatenate([[0], np.cumsum(size)])
+    table, kind = rng.normal(size=(50, k)) * 3, rng.integers(0, 50, first[-1])
+    wide = language_id.Model([str(i) for i in range(k)], table, rng.normal(size=(k, k)), rng.normal(size=k), language_id.Settings(run=7))
+    post = language_id.posteriors(wide, table[kind], first)
+    assert np.allclose(language_id.totals(wide, table, kind, first), [post[a:b].sum(0) for a, b in zip(first[:-1], first[1:])])
+    assert language_id.totals(wide, table[:0], kind[:0], np.zeros(3, np.int64)).tolist() == [[0.0] * k] * 2
+
+
 ODD = ["Hello  world\n\tfoo ▁x é 𝔘", "", " ", "   a  b ", "a" * 40, "the 1234567890 日本語 안녕", "#### ---- ====", "\x00abc\x00", "a" * 100 + " " + "ab" * 50, "😀😀 x😀y", "don't ''''", "x" * 3000]
 
 
