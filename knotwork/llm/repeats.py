@@ -14,7 +14,8 @@ later copies, and ``deduplicated`` cuts those out.
 
 Defined results: null and empty texts and texts under ``passage`` words have no span; words are
 compared with A-Z folded; a passage that repeats only within one document is not reported;
-rows with the same doc_id are one document, those without a doc_id too; exact copies of a
+rows with the same doc_id are one document, each row without a doc_id is one of its own and
+goes before those with one; exact copies of a
 document are one span each if long enough; an empty table gives an empty table; further
 columns are ignored.
 """
@@ -71,8 +72,19 @@ def kept_suffixes(grams: np.ndarray, width: int) -> np.ndarray:
 ANCHORS = "anchor long, doc long, pos int"
 
 
-def _doc_id():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(docs with ``__doc``, a key of each document; the keys of rows without a doc_id, None if there
+    are none).  Those rows are stored, as their keys have to be the same whenever they are read."""
+    docs = docs.withColumn("__doc", F.col("doc_id").cast("long"))
+    bare = docs.where(F.col("__doc").isNull())
+    if not bare.limit(1).count():
+        return docs, None
+    stored = scratch.table(bare.withColumn("__doc", F.lit(_NO_ID) + F.monotonically_increasing_id()), "nameless")
+    return docs.where(F.col("__doc").isNotNull()).unionByName(stored), stored
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__doc").alias("doc"), F.col("text").cast("string").alias("text"))
 
 
 def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
@@ -94,7 +106,7 @@ def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
                 if anchor:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(pos).astype(np.int32))], names=["anchor", "doc", "pos"])
 
-    return docs.select(_doc_id(), F.col("text").cast("string").alias("text")).mapInArrow(run, ANCHORS)
+    return _texts(docs).mapInArrow(run, ANCHORS)
 
 
 def shared_suffixes(sorted_rows: DataFrame) -> DataFrame:
@@ -150,14 +162,14 @@ def shared_suffixes(sorted_rows: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
-    """(doc, pos[], window[]) of the windows around each document's shared suffixes."""
+    """(doc, th, pos[], window[]) of the windows around each document's shared suffixes; th: the text's hash."""
     reach = s.passage - s.gram
 
     def run(stream):
         for batch in stream:
             for part in tokens.batches(batch, "text"):
                 hashes, first, *_ = tokens.words_of(part.column(1))
-                ids, lists = part.column(0), part.column(2)
+                ids, lists, th = part.column(0), part.column(2), part.column(3)
                 edges = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 whole = tokens.chain(hashes, s.passage)
@@ -178,20 +190,19 @@ def windows(docs: DataFrame, places: DataFrame, s: Settings) -> DataFrame:
                 bounds = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                 pos = np.concatenate(pos) if pos else np.zeros(0, np.int64)
                 win = np.concatenate(win) if win else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(bounds, pa.array(pos.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(win.view(np.int64)))], names=["doc", "pos", "win"])
+                yield pa.RecordBatch.from_arrays([ids, th, pa.ListArray.from_arrays(bounds, pa.array(pos.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(win.view(np.int64)))], names=["doc", "th", "pos", "win"])
 
     wanted = scratch.table(places.groupBy("doc").agg(F.collect_set("pos").alias("at")), "places")  # a document's own positions
     keys = scratch.table(wanted.select("doc"), "keys")
-    texts = docs.select(_doc_id(), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(_few(keys), "doc", "left_semi")
-    return scratch.table(texts.join(wanted, "doc").select("doc", "text", "at").mapInArrow(run, "doc long, pos array<int>, win array<long>"), "windows")
+    texts = _texts(docs).where(F.col("text").isNotNull()).join(_few(keys), "doc", "left_semi")
+    return scratch.table(texts.join(wanted, "doc").select("doc", "text", "at", F.xxhash64("text")).mapInArrow(run, "doc long, th long, pos array<int>, win array<long>"), "windows")
 
 
-def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, start, stop (words, stop exclusive), copy: the maximal repeated spans.  copy is false
-    for the parts that no document with a smaller doc_id has, true for later copies."""
-    s, before = settings, scratch.written()
-    places = shared_suffixes(scratch.table(suffixes(docs, s), "suffixes"))
-    table = windows(docs, places, s)
+def _found(keyed: DataFrame, s: Settings) -> DataFrame:
+    """doc, th, start, stop, copy of the spans of each text; keyed: see ``_keyed``."""
+    before = scratch.written()
+    places = shared_suffixes(scratch.table(suffixes(keyed, s), "suffixes"))
+    table = windows(keyed, places, s)
     each = table.select("doc", F.explode("win").alias("win"))
     owners = each.groupBy("win").agg(F.min("doc").alias("doc"), F.max("doc").alias("top"))
     # a document's windows that are its own alone, and those of which it has the first copy
@@ -201,8 +212,8 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(stream):
         for batch in stream:
-            out: list[list] = [[], [], [], []]
-            ids = batch.column(0).to_pylist()
+            out: list[list] = [[], [], [], [], []]
+            ids, hashes = batch.column(0).to_pylist(), batch.column(5).to_pylist()
             for i in range(batch.num_rows):
                 pos, win = batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy()
                 if not len(pos):
@@ -218,20 +229,34 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                         out[1] += at[np.concatenate([[0], cut + 1])].tolist()
                         out[2] += (at[np.append(cut, len(at) - 1)] + s.passage).tolist()
                         out[3] += [copy] * (len(cut) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], names=["doc", "start", "stop", "copy"])
+                        out[4] += [hashes[i]] * (len(cut) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.int64())], names=["doc", "start", "stop", "copy", "th"])
 
-    found = table.join(own, "doc", "left").select("doc", "pos", "win", "alone", "firsts").mapInArrow(run, "doc long, start long, stop long, copy boolean")
-    return found.distinct().select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "start", "stop", "copy")
+    return table.join(own, "doc", "left").select("doc", "pos", "win", "alone", "firsts", "th").mapInArrow(run, "doc long, start long, stop long, copy boolean, th long")
+
+
+def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, start, stop (words, stop exclusive), copy: the maximal repeated spans.  copy is false
+    for the parts that no document with a smaller doc_id has, true for later copies."""
+    keyed, bare = _keyed(docs)
+    found = _found(keyed, settings).select("doc", "start", "stop", "copy").distinct()
+    if bare is None:
+        return found.select(F.col("doc").alias("doc_id"), "start", "stop", "copy")
+    keys = scratch.table(bare.select(F.col("__doc").alias("doc")), "bare")
+    named = found.join(_few(keys.withColumn("bare", F.lit(True))), "doc", "left")
+    return named.select(F.when(F.col("bare").isNull(), F.col("doc")).alias("doc_id"), "start", "stop", "copy")
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with later copies of repeated passages cut out of ``text``; the words that stay are
     joined by single spaces where something was cut, other texts do not change."""
-    cuts = spans(docs, settings).where("copy").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__doc"), F.struct("start", "stop").alias("c")).groupBy("__doc").agg(F.sort_array(F.collect_list("c")).alias("__cuts"))
+    keyed, _ = _keyed(docs)
+    found = _found(keyed, settings).where("copy").distinct()  # by text too: rows of one doc_id may differ
+    cuts = found.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
     word = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
     left = F.filter(word, lambda w, i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i < c["stop"])))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    return keyed.join(cuts, "__doc", "left").withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(*docs.columns)
+    hashed = keyed.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    return hashed.join(cuts, ["__doc", "__th"], "left").withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(*docs.columns)
 
 
 def oracle(passage: int = 50) -> str:

@@ -149,6 +149,21 @@ def test_later_copies_are_cut(make_docs, prose):
     assert out == {1: f"a {passage} b", 2: "c d", 3: "clean   text", 4: None}
 
 
+def test_rows_without_an_id_are_documents_of_their_own(make_docs, prose):
+    p, q = prose(60, 801), prose(55, 802)
+    rows = [(None, f"{prose(20, 803)} {p}"), (None, f"{prose(30, 804)} {p}"), (None, q), (None, q), (7, f"a {p}"), (None, "alone " + prose(80, 805))]
+    got = sorted((r["copy"], r["stop"] - r["start"], str(r["doc_id"])) for r in repeats.spans(make_docs(rows)).collect())
+    assert got == [(False, 55, "None"), (False, 60, "None"), (True, 55, "None"), (True, 60, "7"), (True, 60, "None")]
+
+
+def test_cuts_stay_in_their_own_text(make_docs, prose):
+    p = prose(60, 811)
+    rows = [(1, p), (2, f"{p} tail"), (2, prose(70, 812)), (None, prose(70, 813)), (None, f"{prose(20, 814)} {prose(70, 813)}")]
+    out = {(r["doc_id"], r["text"]) for r in repeats.deduplicated(make_docs(rows)).collect()}
+    assert {(1, p), (2, "tail"), (2, rows[2][1])} <= out
+    assert sorted(len(t.split()) for d, t in out if d is None) in ([0, 90], [20, 70])
+
+
 def vectors_table(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16))
