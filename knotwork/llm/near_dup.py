@@ -1,11 +1,11 @@
-"""Near-duplicate documents by a MinHash LSH forest, every link confirmed on full sets.
+"""Near-duplicate documents by MinHash LSH in sorted orders, every link confirmed on full sets.
 
 A document's set holds the hashes of its runs of ``words`` words (see ``Settings``).  Equal
 sets form a class, and one row stands for it from there on.  A signature of 64 minima of 16
 bits makes sixteen sorted orders: in order t the documents are sorted by the values 4t, 4t+1
 and so on.  A *region* of an order is a run of documents that share its first four values;
-inside it the sort goes on as deep as the region needs, and a document's candidates are the
-neighbours with the longest common prefix.  Neighbours whose signatures and sizes allow a
+inside it the sort goes on by the next four, and a document's candidates are its neighbours
+in that order.  The depth is the same for every region.  Neighbours whose signatures and sizes allow a
 link are compared on their full sets, and links make components.
 
 Neighbours alone could miss links inside a region that holds several components.  So regions
