@@ -1,9 +1,9 @@
-"""Passages that repeat across documents, by a sparse suffix array.
+"""Passages that repeat across documents, by hashes at minimiser positions.
 
 Suffixes are kept only where the hash of the ``gram`` words that follow is the smallest of
 ``passage - gram + 1`` neighbours, so the text itself selects the positions: every run of
-``passage`` words holds one, and equal runs hold equal ones.  The suffixes are sorted by their
-grams across the cluster and neighbours compared; those that share a gram with another document
+``passage`` words holds one, and equal runs hold equal ones.  The suffixes are sorted by the
+64-bit hashes of their grams across the cluster (so not in the order of their words) and grouped; those that share a gram with another document
 are extended.  Extension to the left and to the right takes every window of ``passage`` words
 around such a position and asks whether another document has the same window.  This is exact:
 a window that two documents share holds a kept suffix in both, so both windows are compared.
