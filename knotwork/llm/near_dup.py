@@ -1,6 +1,7 @@
 """Near-duplicate documents by MinHash LSH in sorted orders, every link confirmed on full sets.
 
-A document's set holds the hashes of its runs of ``words`` words (see ``Settings``).  Equal
+A document's set holds the 64-bit hashes of its runs of ``words`` words (see ``Settings``; two
+different runs of a pair share one with a chance of about n^2 / 2^64 for n runs).  Equal
 sets form a class, and one row stands for it from there on.  A signature of 64 minima of 16
 bits makes sixteen sorted orders: in order t the documents are sorted by the values 4t, 4t+1
 and so on.  A *region* of an order is a run of documents that share its first four values;

@@ -10,7 +10,7 @@ edge passes at each position that is reached, so the last pieces lead back throu
 own segmentation.  Characters outside the vocabulary become byte pieces.
 
 Chunks are the same in every document, so a worker remembers those that it has met, up to a
-fixed number.  Nothing is shuffled and no model is trained; the model file's path is a parameter.
+fixed number, and compares their bytes when it meets them again.  Nothing is shuffled and no model is trained; the model file's path is a parameter.
 
 Defined results: a null text has null ids, an empty text no ids; U+2581 in a text is the
 model's own space mark, so it decodes to a space; decoding skips control pieces and writes
@@ -34,7 +34,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _REMEMBERED = 1 << 20  # chunks that a worker keeps
 _INDEXED = 1 << 18  # bytes of chunks that are indexed together
-_WORDS = 8  # of 8 bytes each: the longest piece that fits
 
 
 @dataclass
@@ -50,7 +49,7 @@ class Vocabulary:
     merged: np.ndarray
     byte: np.ndarray  # piece of each byte
     unknown: int
-    words: np.ndarray  # (pieces, 8) big-endian words, filled with zeros
+    words: np.ndarray  # (pieces, as many as the longest piece takes) big-endian words, filled with zeros
     usable: np.ndarray
     control: np.ndarray
 
@@ -106,7 +105,7 @@ def load(path: str = MODEL) -> Vocabulary:
     keys = np.array([a * (n + 1) + b for a, b in merged], dtype=np.int64)
     at = np.argsort(keys)
     size = np.array([len(raw[i]) if ordinary[i] else 0 for i in range(n)])
-    padded = np.zeros((n, _WORDS * 8), np.uint8)
+    padded = np.zeros((n, -(-max(1, *size[usable]) // 8) * 8), np.uint8)
     for i in range(n):
         if usable[i]:
             padded[i, : size[i]] = np.frombuffer(raw[i], np.uint8)
@@ -139,27 +138,30 @@ def stays(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions ``at`` sorted by the 64 bytes from there, the 8-byte words from every position)."""
+def suffix_array(text: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions ``at`` sorted by the ``words`` times 8 bytes from there, which no piece exceeds; the
+    8-byte words from every position)."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(_WORDS * 8 + 8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n + _WORDS * 8, np.uint64)
+    padded = np.concatenate([text, np.zeros(words * 8 + 8, np.uint8)]).astype(np.uint64)
+    word = np.zeros(n + words * 8, np.uint64)
     for k in range(8):
         word |= padded[k : k + len(word)] << np.uint64(56 - 8 * k)
     _, rank = np.unique(word, return_inverse=True)
     rank = rank.astype(np.uint64)
-    for reach in (8, 16, 32):
-        after = np.concatenate([rank[reach:], np.zeros(reach, np.uint64)])
+    reach = 8
+    while reach < words * 8:
+        after = np.concatenate([rank[reach:], np.zeros(reach, np.uint64)])[: len(rank)]
         _, rank = np.unique(rank * np.uint64(len(word) + 1) + after, return_inverse=True)
         rank = rank.astype(np.uint64)
+        reach *= 2
     return at[np.argsort(rank[at], kind="stable")], word
 
 
 def ranges(v: Vocabulary, order: np.ndarray, word: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[first, last) of the suffixes that begin with each of the pieces, by binary search."""
     low = v.words[which]
-    size = v.size[which]
-    filled = np.clip(size[:, None] - np.arange(_WORDS) * 8, 0, 8).astype(np.uint64)
+    size, words = v.size[which], v.words.shape[1]
+    filled = np.clip(size[:, None] - np.arange(words) * 8, 0, 8).astype(np.uint64)
     rest = np.where(filled >= 8, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(filled * np.uint64(8), np.uint64(63)))
     high = low | rest
     bounds = []
@@ -172,7 +174,7 @@ def ranges(v: Vocabulary, order: np.ndarray, word: np.ndarray, which: np.ndarray
             mid = (lo + hi) // 2
             start = order[np.minimum(mid, len(order) - 1)]
             less, same = np.zeros(len(which), bool), np.ones(len(which), bool)
-            for k in range(_WORDS):
+            for k in range(words):
                 w = word[start + 8 * k]
                 less |= same & (w < target[:, k])
                 same &= w == target[:, k]
@@ -188,7 +190,7 @@ def segment(v: Vocabulary, text: np.ndarray, first: np.ndarray) -> tuple[np.ndar
     heads = ((text & 0xC0) != 0x80) & np.append(np.ones(len(text) - 1, bool), False)
     ends = first[1:] - 1
     heads[ends] = False
-    order, word = suffix_array(text, np.flatnonzero(heads))
+    order, word = suffix_array(text, np.flatnonzero(heads), v.words.shape[1])
     which = np.flatnonzero(v.usable)
     lo, hi = ranges(v, order, word, which)
     count = hi - lo
@@ -252,14 +254,18 @@ def segment(v: Vocabulary, text: np.ndarray, first: np.ndarray) -> tuple[np.ndar
 
 
 class Encoder:
-    """Encodes string columns; remembers chunks between calls."""
+    """Encodes string columns; remembers chunks between calls.
+
+    Chunks are looked up by hash and compared with the remembered bytes; where two different ones
+    share a hash, all are hashed anew with the next seed."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v, self.seed = vocabulary, 0
         self._forget()
 
     def _forget(self):
         self.keys, self.start, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.at, self.size, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _learn(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if len(self.keys) + len(keys) > _REMEMBERED:
@@ -283,8 +289,13 @@ class Encoder:
             base += len(ids)
             i = j
         self.ids = np.concatenate(flat)
+        body = np.cumsum(size - 1)
+        inside = np.arange(body[-1]) - np.repeat(body - size + 1, size - 1)
         all_keys = np.concatenate([self.keys, keys])
         sort = np.argsort(all_keys)
+        self.at = np.concatenate([self.at, len(self.raw) + body - size + 1])[sort]
+        self.size = np.concatenate([self.size, size - 1])[sort]
+        self.raw = np.concatenate([self.raw, raw[np.repeat(starts, size - 1) + inside]])
         self.keys = all_keys[sort]
         self.start, self.count = np.concatenate([self.start, *starts_of])[sort], np.concatenate([self.count, *counts])[sort]
 
@@ -296,14 +307,25 @@ class Encoder:
         raw, offsets = tokens.utf8_buffer(column)
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        return self._chunked(raw, offsets)
+
+    def _again(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.seed += 1
+        self._forget()
+        return self._chunked(raw, offsets)
+
+    def _chunked(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         space = raw == 0x20
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[1:-1] = space[1:] & ~space[:-1]
         edge[offsets] = True
         starts = np.flatnonzero(edge)
         starts, ends = starts[:-1], starts[1:]
-        hashes = tokens.hash_spans(raw, starts, ends, fold=False)
+        hashes = tokens.hash_spans(raw, starts, ends, False, self.seed)
         keys, at, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        words, same = tokens.eights(raw), at[kind]
+        if not tokens.equal_spans(words, starts, ends - starts, words, starts[same], (ends - starts)[same]):
+            return self._again(raw, offsets)
         slot = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), dtype=bool)
         if len(self.keys):
@@ -312,6 +334,10 @@ class Encoder:
             if len(self.keys) + int(new.sum()) > _REMEMBERED:
                 self._forget()
                 new[:] = True
+        old = np.flatnonzero(~new)
+        if not tokens.equal_spans(words, starts[at[old]], (ends - starts)[at[old]], tokens.eights(self.raw), self.at[slot[old]], self.size[slot[old]]):
+            return self._again(raw, offsets)
+        if new.any():
             self._learn(keys[new], raw, starts[at[new]], ends[at[new]])
             slot = np.searchsorted(self.keys, keys)
         count = self.count[slot][kind]

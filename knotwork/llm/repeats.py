@@ -5,8 +5,10 @@ Suffixes are kept only where the hash of the ``gram`` words that follow is the s
 ``passage`` words holds one, and equal runs hold equal ones.  The suffixes are sorted by the
 64-bit hashes of their grams across the cluster (so not in the order of their words) and grouped; those that share a gram with another document
 are extended.  Extension to the left and to the right takes every window of ``passage`` words
-around such a position and asks whether another document has the same window.  This is exact:
-a window that two documents share holds a kept suffix in both, so both windows are compared.
+around such a position and asks whether another document has the same window.  No window is
+missed: one that two documents share holds a kept suffix in both, so both are compared.  Windows
+are compared by 64-bit hashes, so two different ones are taken for equal with a chance of n^2 / 2^65
+among n of them.
 Overlapping windows make up the maximal repeated spans.
 
 Of a repeated window the document with the smallest doc_id holds the first copy; all others are

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_SEGMENT = 1 << 16  # bytes hashed at once: bounds the temporary uint64 arrays
+_PIECE = 512  # bytes of a long span that are hashed together
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,20 +31,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_FOLDED = _BYTE[_LOWER]
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, size: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < size:
-        seed = np.full(max(size, 1 << 16), base, dtype=np.uint64)
-        seed[0] = 1
-        table = _powers[base] = np.cumprod(seed)
-    return table
+_TAIL = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,24 +65,54 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hash of each byte span; the spans ascend."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    table = _FOLDED if fold else _BYTE
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + _SEGMENT, side="right")))
-        hi = int(ends[j - 1])
-        size = int(hi - lo)
-        run = np.empty(size + 1, dtype=np.uint64)
-        run[0] = 0
-        np.cumsum(table[raw[lo:hi]] * _power_table(_BASE, size + 1)[:size], out=run[1:])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (run[b] - run[a]) * _power_table(_BASE_INV, size + 1)[a]
-        out[i:j] += (b - a).astype(np.uint64)
-        i = j
-    return mix64(out)
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position of raw on, as little-endian integers; zeros follow its end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span: its length, then eight bytes a round, each round through an
+    invertible mixer, so that spans of up to eight bytes and one length never collide and others do
+    with a chance of about 2^-64.  Of spans over ``_PIECE`` bytes the pieces are hashed, and then
+    their hashes in the same way, which takes few rounds however long a span is."""
+    return _rounds(eights(_LOWER[raw] if fold else raw), np.asarray(starts), np.asarray(ends), np.uint64(seed))
+
+
+def _rounds(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64) -> np.ndarray:
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed)
+    long = size > _PIECE
+    live = np.flatnonzero(~long & (size > 0))
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix64(out[live] ^ (words[at] & _TAIL[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(long)
+    if len(long):
+        count = -(-size[long] // _PIECE)
+        first = np.concatenate([[0], np.cumsum(count)])
+        nth = np.arange(first[-1]) - np.repeat(first[:-1], count)
+        begin = np.repeat(starts[long], count) + nth * _PIECE
+        pieces = _rounds(words, begin, np.minimum(begin + _PIECE, np.repeat(ends[long], count)), seed)
+        out[long] = mix64(out[long] + _rounds(eights(pieces.astype("<u8").view(np.uint8)), first[:-1] * 8, first[1:] * 8, seed + np.uint64(1)))
+    return out
+
+
+def equal_spans(words: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, there: np.ndarray, length: np.ndarray) -> bool:
+    """Whether the spans of ``size`` bytes from ``at`` are, one by one, those of ``length`` bytes from
+    ``there``; words and other are the ``eights`` of their bytes."""
+    if (size != length).any():
+        return False
+    live = np.flatnonzero((size > 0) & ((at != there) | (words is not other)))
+    at, there, left = at[live], there[live], size[live]
+    while len(left):
+        if ((words[at] ^ other[there]) & _TAIL[np.minimum(left, 8)]).any():
+            return False
+        more = np.flatnonzero(left > 8)
+        at, there, left = at[more] + 8, there[more] + 8, left[more] - 8
+    return True
 
 
 def words_of(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -192,6 +192,48 @@ def test_pieces_equal_the_library(encoder):
     assert pieces.decode(encoder.v, ids.astype(np.int64), first) == [t.replace(pieces.MARK, " ") for t in texts]
 
 
+def alternating(n, other=False):
+    return "".join("ab"[(i.bit_count() + other) % 2] for i in range(n))
+
+
+def test_long_alternating_words_are_told_apart(encoder):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [alternating(n, other) for n in (1024, 2048, 4096) for other in (False, True)]
+    ids, first = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == model.encode(texts)
+    assert pieces.decode(encoder.v, ids.astype(np.int64), first) == texts
+
+
+def test_chunks_with_one_hash_are_told_apart(encoder, monkeypatch):
+    plain = pieces.tokens.hash_spans
+    fresh = pieces.Encoder(encoder.v)
+    one = fresh.encode(pa.array(["some words here", "other"]))[0].tolist()
+    for seeds in ({0}, {0, 1}):  # in one batch, and between a batch and the memory
+        monkeypatch.setattr(pieces.tokens, "hash_spans", lambda raw, a, b, fold=True, seed=0: plain(raw, a, b, fold, seed) % np.uint64(2 if seed in seeds else 1 << 63))
+        again = pieces.Encoder(encoder.v)
+        assert again.encode(pa.array(["some words here", "other"]))[0].tolist() == one and again.seed == len(seeds)
+    monkeypatch.setattr(pieces.tokens, "hash_spans", lambda raw, a, b, fold=True, seed=0: plain(raw, a, b, fold, seed) * np.uint64(seed > 0))
+    again = pieces.Encoder(encoder.v)
+    got = [again.encode(pa.array([t]))[0].tolist() for t in ("some", "here")]
+    assert got == [encoder.encode(pa.array([t]))[0].tolist() for t in ("some", "here")] and again.seed == 1
+
+
+def test_pieces_over_64_bytes(tmp_path, encoder):
+    import dataclasses
+
+    long = "ab" * 50  # as if the model held it: index and search reach as far as the longest piece
+    padded = np.zeros((1, 104), np.uint8)
+    padded[0, :100] = np.frombuffer(long.encode(), np.uint8)
+    words = padded.view(">u8").astype(np.uint64)
+    v = dataclasses.replace(encoder.v, words=words, size=np.array([100]))
+    text = np.frombuffer(f"x{long}y{long}b".encode() + b"\0", np.uint8)
+    order, word = pieces.suffix_array(text, np.arange(len(text) - 1), words.shape[1])
+    lo, hi = pieces.ranges(v, order, word, np.array([0]))
+    assert sorted(order[lo[0] : hi[0]].tolist()) == [1, 102]
+
+
 def test_pieces_when_the_memory_is_full(encoder, monkeypatch):
     monkeypatch.setattr(pieces, "_REMEMBERED", 5)
     fresh = pieces.Encoder(encoder.v)

@@ -239,6 +239,20 @@ def test_recall_beyond_small_tables(spark):
     assert hits / 300 >= 0.9
 
 
+def alternating(n, other=False):
+    return "".join("ab"[(i.bit_count() + other) % 2] for i in range(n))
+
+
+def test_long_alternating_words_are_different_words(make_docs, prose):
+    rows = [(10 * k + other, alternating(n, bool(other))) for k, n in enumerate((1024, 2048, 4096)) for other in (0, 1)]
+    out = near_dup.link(make_docs(rows), near_dup.Settings(words=2)).collect()
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in out)
+    left, right = prose(49, 1), prose(49, 2)  # windows that differ in one word only
+    held = [(i, f"{left} {t} {right}") for i, t in rows] + [(100, f"{left} {rows[0][1]} {right}")]
+    got = {(r["doc_id"], r["start"], r["stop"]) for r in repeats.spans(make_docs(held)).collect()}
+    assert got == {(0, 0, 99), (100, 0, 99)}
+
+
 def test_word_hashes_do_not_depend_on_batching():
     import pyarrow as pa
 
