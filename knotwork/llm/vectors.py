@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.plans import scratch
 
-STORED = "vec_id long, ok boolean, h1 long, h2 long, vec array<double>"
+STORED = "vec_id long, ok boolean, h1 long, h2 long, vec array<{}>"
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -31,10 +31,16 @@ def common_size(frame: DataFrame, column: str = "embedding") -> int:
     return max(1, top[0]["n"]) if top else 1
 
 
+def kind(frame: DataFrame, column: str) -> str:
+    """float where the components come as such, as half the bytes then travel, else double."""
+    return "float" if dict(frame.dtypes)[column] == "array<float>" else "double"
+
+
 def stored(frame: DataFrame, size: int, column: str = "embedding") -> DataFrame:
     """(row, vec_id, ok, h1, h2, vec) of frame(vec_id, <column>); ``row`` tells rows apart, ``ok`` is
     false and vec empty for vectors that are null, zero, of another length, or hold null or
     non-finite components; h1 and h2 agree for equal vectors."""
+    numbers = kind(frame, column)
 
     def run(stream):
         for batch in stream:
@@ -50,14 +56,14 @@ def stored(frame: DataFrame, size: int, column: str = "embedding") -> DataFrame:
             ok = np.zeros(n, dtype=bool)
             ok[fits] = np.isfinite(x[fits]).all(1) & (x[fits] != 0).any(1)
             x[~ok] = 0
-            kept = pa.array(x[ok].ravel())
+            kept = pa.array(x[ok].ravel(), pa.float32() if numbers == "float" else pa.float64())
             bounds = np.concatenate([[0], np.cumsum(np.where(ok, size, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ok), pa.array(_digest(x, 1)), pa.array(_digest(x, 2)), pa.ListArray.from_arrays(pa.array(bounds), kept)],
                 names=["vec_id", "ok", "h1", "h2", "vec"],
             )
 
-    rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vec")).mapInArrow(run, STORED)
+    rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast(f"array<{numbers}>").alias("vec")).mapInArrow(run, STORED.format(numbers))
     return scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "vectors")
 
 

@@ -1,5 +1,6 @@
 """Operators on pairs against brute force: near-duplicates, repeated passages, vectors."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -208,35 +209,63 @@ def test_lattice_points(spark):
         assert (((x - home - root) ** 2).sum(1) >= d - 1e-12).all()
 
 
-def test_neighbours_of_a_small_table_are_exact(spark):
-    rows, frame = vectors_table(spark)
-    seen = {}
-    for d, v in rows:
-        if usable(v) and d is not None:
-            seen[d, tuple(v)] = d
-    want = []
-    for (d, v) in seen:
+def nearest(rows, k=10):
+    """(query, rank, id) and scores by brute force, in exact decimal arithmetic where doubles would overflow."""
+    seen = {(d, tuple(v)) for d, v in rows if usable(v) and d is not None}
+    out = []
+    for d, v in seen:
         if d % 100 == 0:
-            near = sorted((float(np.sqrt(sum((p - q) ** 2 for p, q in zip(v, u)))), e) for e, u in seen if e != d)[:10]
-            want += [(d, k + 1, e, s) for k, (s, e) in enumerate(near)]
-    got = [tuple(r) for r in neighbours.search(frame.where("vec_id is not null"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect()]
-    assert [g[:3] for g in sorted(got)] == [w[:3] for w in sorted(want)]
-    assert np.allclose([g[3] for g in sorted(got)], [w[3] for w in sorted(want)], rtol=1e-14)
+            far = lambda u: math.dist([p / 2 for p in v], [p / 2 for p in u]) * 2
+            near = sorted((far(u), e) for e, u in seen if e != d)[:k]
+            out += [(d, n + 1, e, x) for n, (x, e) in enumerate(near)]
+    return sorted(out)
+
+
+def found(frame, settings=neighbours.Settings()):
+    return sorted(tuple(r) for r in neighbours.search(frame, F.col("vec_id") % 100 == 0, settings).select("query_id", "rank", "vec_id", "score").collect())
 
 
-def test_recall_beyond_small_tables(spark):
+@pytest.mark.parametrize("part", [16384, 40])
+def test_neighbours_are_exact_where_the_budget_covers_the_table(spark, part):
+    rows, frame = vectors_table(spark)
+    want = nearest(rows)
+    got = found(frame.where("vec_id is not null"), neighbours.Settings(part=part, leaf=8, queries=3))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-14)
+
+
+def test_neighbours_of_huge_tiny_and_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=16) * s).tolist()) for i, s in enumerate(np.repeat([1e200, 1.0, 1e-170, 1e307], 60))]
+    rows += [(i, [1e200] * 16) for i in range(300, 340)] + [(i, rows[100][1]) for i in range(400, 420)] + [(500, [-1e308] * 16), (501, [1.7e308] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got, want = found(frame), nearest(rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and len(got) == 10 * 6
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
+    assert [g[:3] for g in got if g[0] in (300, 400)] == [w[:3] for w in want if w[0] in (300, 400)]
+
+
+@pytest.mark.parametrize("rows,extra", [(3000, 0), (3000, 1024), (9000, 0)])
+def test_recall_of_the_forest(spark, rows, extra):
+    """Gaussian rows, the worst case; a query ranks fewer distances than a scan."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 24))
+    x = rng.normal(size=(rows, 24))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    settings = neighbours.Settings(extra=extra)
     got = defaultdict(set)
-    for r in neighbours.search(frame, F.col("vec_id") % 100 == 0, neighbours.Settings(small=100)).collect():
-        got[r["query_id"]].add(r["vec_id"])
+    for q, _, v, _ in found(frame, settings):
+        got[q].add(v)
     hits = 0
-    for q in range(0, 3000, 100):
+    for q in range(0, rows, 100):
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
         hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
-    assert hits / 300 >= 0.9
+    assert hits / (rows // 10) >= 0.9 and settings.visits < 1
+
+
+def test_leaves_in_groups():
+    start, split, many = neighbours.groups(np.array([[3, 4, 5, 0, 25], [1, 9, 10, 2, 0]]), 10)
+    assert start.tolist() == [0, 0, 1, 1, 2, 5, 5, 6, 7, 7] and split.tolist() == [1, 1, 1, 1, 3, 1, 1, 1, 1, 1] and many == 8
 
 
 def alternating(n, other=False):
