@@ -5,6 +5,11 @@ to the nearest point of the E8 lattice: the vector's home cell.  A vector also p
 ``probes`` neighbouring cells that it leans towards most.  Vectors that meet in a cell, one of
 them at home there, are compared by cosine in double precision.
 
+Cells are filled with ids and sketches first: 128 sides of random planes, of which a pair at the
+threshold differs in about a tenth and random vectors in half.  Vectors then travel only to cells
+where some sketch is near enough to theirs (``_most_apart``: a linked pair is ruled out with a
+chance of about 1e-9), so what is shuffled is a few small numbers a cell, and vectors of links.
+
 Equal vectors are one class with a count, so copies cost nothing.  Pairs never leave the task
 that finds them: a link found in several cells or tables counts only in the first of them,
 which each task can tell from the two vectors alone, and what is shuffled is each class's
@@ -12,7 +17,10 @@ number of links and a spanning forest of the block's links.  Cells with more tha
 members are split, and each pair of parts is compared.
 
 For a pair at the threshold 0.95 a table misses with a chance of about 0.06 (measured), all
-``tables`` of them with 4 in a million; closer pairs are safer still.
+``tables`` of them with 1e-6; closer pairs are safer still.  A cell of the eight projected dimensions
+holds a fixed share of all directions, so the sketches that are compared grow with the square of
+the rows (15 % of all pairs of unstructured vectors in 64 dimensions); a larger ``scale`` with
+more ``tables`` trades them for rows that are shuffled (0.7 with 7: 4 %, 1.4 times the rows).
 
 Defined results: see ``vectors.stored`` for vectors that link with nothing; they are kept and
 have no link.  Repeated rows are vectors of their own and link.  Ties go to the smaller
@@ -30,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm import tokens, vectors
+from knotwork.llm.near_dup import _few
 from knotwork.operators.contraction import components
 from knotwork.plans import forests, scratch
 
@@ -40,7 +49,7 @@ class Settings:
     tables: int = 5
     probes: int = 4
     scale: float = 0.5  # of a projected unit vector's components
-    block: int = 2048
+    block: int = 4096
     seed: int = 3
 
 
@@ -111,6 +120,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def sketches(unit: np.ndarray, s: Settings) -> np.ndarray:
+    """(rows, 2) longs: the sides of 128 random planes that each vector lies on."""
+    side = unit @ np.random.default_rng([s.seed, 128]).normal(size=(unit.shape[1], 128)) > 0
+    return np.packbits(side, axis=1).view(np.uint64).reshape(len(unit), 2)
+
+
+def _most_apart(s: Settings) -> int:
+    """Sketch bits that a linked pair may differ in: six standard deviations over the threshold's mean."""
+    p = np.arccos(np.clip(s.cosine, -1, 1)) / np.pi
+    return int(min(128, np.ceil(128 * p + 6 * np.sqrt(128 * p * (1 - p)) + 1)))
+
+
+def _near_sketches(cross: bool, heap: np.ndarray, home: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """Which members of a block are near another one by sketch, one of the two at home there."""
+    near = np.zeros(len(home), bool)
+    hosts = np.flatnonzero(home)
+    for lo in range(0, len(hosts), 256):
+        mine = hosts[lo : lo + 256]
+        apart = np.bitwise_count(sketch[mine, None, 0] ^ sketch[None, :, 0]) + np.bitwise_count(sketch[mine, None, 1] ^ sketch[None, :, 1])
+        close = apart <= most
+        close[np.arange(len(mine)), mine] = False
+        if cross:
+            close &= heap[mine, None] != heap[None, :]
+        near[mine] |= close.any(1)
+        near |= close.any(0)
+    return near
+
+
 def _first_here(cx: np.ndarray, cy: np.ndarray, x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
     """Whether the pairs (x at home in a cell of this table, y there too) meet nowhere earlier."""
     first = np.ones(len(x), dtype=bool)
@@ -125,7 +162,7 @@ def _first_here(cx: np.ndarray, cy: np.ndarray, x: np.ndarray, y: np.ndarray, ta
 def _block(batch: pa.RecordBatch, size: int, s: Settings):
     """(src, dst, n): links of each member (src = dst) and edges of a spanning forest (n = 0)."""
     key, cross, heap, table, home, member, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-    unit = vectors.matrix(batch.column(7), size)
+    unit = _unit(vectors.matrix(batch.column(7), size))
     for a, b in vectors.runs(key):
         hosts = a + np.flatnonzero(home[a:b])
         if b - a < 2 or not len(hosts):
@@ -170,44 +207,55 @@ def link(frame: DataFrame, settings: Settings = Settings(), column: str = "embed
     s, before = settings, scratch.written()
     size = vectors.common_size(frame, column)
     table = vectors.stored(frame, size, column)
-    usable = table.where("ok")
-    classes = scratch.table(usable.groupBy("h1", "h2").agg(F.min("row").alias("member"), F.count(F.lit(1)).alias("copies")), "classes")
-    members = scratch.table(table.select("row", "vec_id", "ok", "h1", "h2").join(classes, ["h1", "h2"], "left").select("row", "vec_id", F.when(F.col("ok"), F.col("member")).otherwise(F.col("row")).alias("member"), F.when(F.col("ok"), F.col("copies")).otherwise(F.lit(1)).alias("copies")), "members")
-    reps = usable.join(classes.select("member", "copies"), F.col("row") == F.col("member")).select("member", "copies", "vec")
-
-    def place(stream):
+    twins = scratch.table(table.where("ok").groupBy("h1", "h2").agg(F.min("row").alias("member"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twins")
+    placed = table.select("row", "vec_id", "ok", "h1", "h2").join(twins, ["h1", "h2"], "left")
+    members = scratch.table(placed.select("row", "vec_id", *[F.coalesce(F.when(F.col("ok"), F.col(c)), own).alias(c) for c, own in (("member", F.col("row")), ("copies", F.lit(1)))]), "members")
+    others = scratch.table(members.where("row <> member").select("row"), "others")
+    reps = table.where("ok").join(_few(others), "row", "left_anti").select(F.col("row").alias("member"), "vec")
+    per, most = s.tables * (1 + s.probes), _most_apart(s)
+
+    def places(stream):
         for batch in stream:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                unit = _unit(vectors.matrix(part.column(2), size))
-                where = cells(unit, s)
-                n, per = len(unit), 1 + s.probes
-                for t in range(s.tables):
-                    at = np.repeat(np.arange(n), per)
-                    flat = unit[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(where[:, t].ravel()),
-                            pa.array(np.full(n * per, t, np.int32)),
-                            pa.array(np.tile(np.arange(per) == 0, n)),
-                            part.column(0).take(pa.array(at)),
-                            part.column(1).take(pa.array(at)),
-                            pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, size, dtype=np.int32)), pa.array(flat.ravel())),
-                        ],
-                        names=["cell", "t", "home", "member", "copies", "unit"],
-                    )
-
-    def name_only(stream):
-        for batch in place(stream):
-            yield batch.select(["cell", "home"])
-
-    met = reps.mapInArrow(name_only, "cell long, home boolean").groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("home"))
-    met = scratch.table(met.where("size > 1 and home").select("cell", "size"), "met")
-    rows = reps.mapInArrow(place, "cell long, t int, home boolean, member long, copies long, unit array<double>").join(met, "cell")
-    heaps = F.ceil(F.col("size") / s.block).cast("int")
+                yield part.column(0), _unit(vectors.matrix(part.column(1), size))
+
+    def name(stream):
+        for _, unit in places(stream):
+            yield pa.RecordBatch.from_arrays([pa.array(cells(unit, s).ravel())], names=["cell"])
+
+    def place(stream):
+        table, probe = np.divmod(np.arange(per), 1 + s.probes)
+        for member, unit in places(stream):
+            at, sketch = np.repeat(np.arange(len(unit)), per), sketches(unit, s).view(np.int64)
+            columns = [cells(unit, s).ravel(), np.tile(table * 2 + (probe == 0), len(unit)).astype(np.int32), sketch[at, 0], sketch[at, 1]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), member.take(pa.array(at))], names=["cell", "spot", "s1", "s2", "member"])
+
+    sizes = reps.mapInArrow(name, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    crowded = scratch.table(sizes.where(F.col("size") > s.block), "crowded")
+    spots = reps.mapInArrow(place, "cell long, spot int, s1 long, s2 long, member long").join(_few(crowded), "cell", "left")
+    heaps = F.ceil(F.coalesce("size", F.lit(1)) / s.block).cast("int")
     own = F.pmod(F.xxhash64("member", "cell"), heaps).cast("int")
-    dealt = rows.select("*", own.alias("heap"), F.explode(F.sequence(F.lit(0), heaps - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("cell", F.least("heap", "other"), F.greatest("heap", "other")).alias("block"), (F.col("heap") != F.col("other")).alias("cross"), "heap", "t", "home", "member", "copies", "unit")
+    spread = spots.select("cell", "spot", "s1", "s2", "member", own.alias("heap"), F.explode(F.sequence(F.lit(0), heaps - 1)).alias("other"))
+    block = F.xxhash64("cell", F.least("heap", "other"), F.greatest("heap", "other"))
+    named = spread.select(block.alias("block"), (F.col("heap") != F.col("other")).alias("cross"), "heap", "spot", "member", "s1", "s2")
+
+    def sift(stream):
+        for batch in vectors.grouped(stream):
+            key, cross, heap, spot, s1, s2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 5, 6))
+            sketch = np.stack([s1, s2], 1).view(np.uint64)
+            keep = [np.zeros(0, np.int64)]
+            for a, b in vectors.runs(key):
+                if b - a > 1:
+                    keep.append(a + np.flatnonzero(_near_sketches(cross[a], heap[a:b], spot[a:b] % 2 == 1, sketch[a:b], most)))
+            keep = pa.array(np.concatenate(keep))
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in batch.columns[:5]], names=batch.schema.names[:5])
+
+    near = named.repartition("block").sortWithinPartitions("block").mapInArrow(sift, "block long, cross boolean, heap int, spot int, member long")
+    near = scratch.table(near, "near")
+    wanted = scratch.table(near.select("member").distinct(), "wanted")
+    hot = reps.join(_few(wanted), "member", "left_semi").join(twins.select("member", "copies"), "member", "left")
+    dealt = near.join(hot, "member").select("block", "cross", "heap", F.shiftright("spot", 1).alias("t"), (F.col("spot") % 2 == 1).alias("home"), "member", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "vec")
 
     def compare(stream):
         for batch in vectors.grouped(stream):
@@ -217,10 +265,10 @@ def link(frame: DataFrame, settings: Settings = Settings(), column: str = "embed
     found = scratch.table(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "src long, dst long, n long"), "found")
     degree = scratch.table(found.where("n > 0").groupBy(F.col("src").alias("member")).agg(F.sum("n").alias("others")), "degree")
     labels = scratch.table(components(found.where("n = 0").select("src", "dst")).select(F.col("id").alias("member"), F.col("component").alias("label")), "labels")
-    placed = scratch.table(members.join(degree, "member", "left").join(labels, "member", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "member").alias("label")), "placed")
-    heads = scratch.table(placed.groupBy("label").agg(F.min("vec_id").alias("component_id")), "heads")
-    scratch.release(before, placed, heads)
-    return placed.join(heads, "label").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    done = scratch.table(members.join(degree, "member", "left").join(labels, "member", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "member").alias("label")), "done")
+    heads = scratch.table(done.groupBy("label").agg(F.min("vec_id").alias("component_id")), "heads")
+    scratch.release(before, done, heads)
+    return done.join(heads, "label").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def oracle(cosine: float = 0.95) -> str:

@@ -199,6 +199,25 @@ def test_vector_links_equal_brute_force(spark, block):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == want
 
 
+def test_planted_links_of_64_dimensions(spark):
+    """1500 pairs just over the threshold, 1500 just under it and a chain, among random vectors."""
+    rng = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x, y = unit(rng.normal(size=(3000, 64))), rng.normal(size=(3000, 64))
+    y = unit(y - (y * x).sum(1)[:, None] * x)
+    cosine = np.where(np.arange(3000) < 1500, 0.9502, 0.9498)[:, None]
+    chain = np.stack([np.cos(np.arange(40) * 0.3), np.sin(np.arange(40) * 0.3)], 1) @ unit(np.linalg.qr(rng.normal(size=(64, 2)))[0].T)
+    table = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y, chain])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r for r in lattice.link(frame).collect()}
+    full = unit(table) @ unit(table).T >= 0.95
+    np.fill_diagonal(full, False)
+    group = components(len(table), zip(*np.nonzero(full)))
+    assert full.sum() // 2 >= 1539
+    assert [got[i]["n_links"] for i in range(len(table))] == full.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(table))] == group
+
+
 def test_lattice_points(spark):
     rng = np.random.default_rng(1)
     assert len(lattice.ROOTS) == 240
