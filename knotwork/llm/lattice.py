@@ -20,7 +20,7 @@ For a pair at the threshold 0.95 a table misses with a chance of about 0.06 (mea
 ``tables`` of them with 1e-6; closer pairs are safer still.  A cell of the eight projected dimensions
 holds a fixed share of all directions, so the sketches that are compared grow with the square of
 the rows (15 % of all pairs of unstructured vectors in 64 dimensions); a larger ``scale`` with
-more ``tables`` trades them for rows that are shuffled (0.7 with 7: 4 %, 1.4 times the rows).
+more ``tables`` trades them for rows that are shuffled.
 
 Defined results: see ``vectors.stored`` for vectors that link with nothing; they are kept and
 have no link.  Repeated rows are vectors of their own and link.  Ties go to the smaller

@@ -5,14 +5,18 @@ different runs of a pair share one with a chance of about n^2 / 2^64 for n runs)
 sets form a class, and one row stands for it from there on.  A signature of 64 minima of 16
 bits makes sixteen sorted orders: in order t the documents are sorted by the values 4t, 4t+1
 and so on.  A *region* of an order is a run of documents that share its first four values;
-inside it the sort goes on by the next four, and a document's candidates are its neighbours
-in that order.  The depth is the same for every region.  Neighbours whose signatures and sizes allow a
-link are compared on their full sets, and links make components.
-
-Neighbours alone could miss links inside a region that holds several components.  So regions
-that still do are searched again, block by block, with the sets at hand: documents of different
-components are compared there, and those already joined are not.  After that every pair that
-shares any region is either in one component or has been compared.
+inside it the sort goes on by up to eight more, so that neighbours are those with the longest
+common prefix, and these are a document's candidates.  Neighbours whose signatures and sizes
+allow a link are compared on their full sets, and links make components.
+
+Neighbours alone could miss links inside a region that holds several components.  Such regions of
+up to ``block`` documents are searched again, with the sets at hand: documents of different
+components are compared there, and those already joined are not.  The documents of larger ones
+(a template that thousands fill in, say) are not paired: they are first parted by their rarest
+shingles.  A linked pair shares one of the smaller set's n / 9 and the larger set's n / 5 rarest
+shingles, in any common order of shingles; only documents that are connected by such shingles are
+compared, and what they all have in common tells nothing.  So every pair that shares a region is
+either in one component, or has been compared, or cannot be a link.
 
 The signature only rules out pairs with under 36 equal values of 64; a link (similarity 0.8:
 51 expected) falls below that with a chance of about one in a million, and shares no region
@@ -47,7 +51,8 @@ class Settings:
     words: int = 5
     percent: int = 80  # links have 100 * intersection >= percent * union
     least_equal: int = 36  # of 64 signature values that a candidate shares
-    block: int = 1024  # documents of a region that are searched together
+    block: int = 512  # documents of a region that are searched together
+    buckets: int = 1 << 18  # that shingles are counted in to find the rare ones
     seed: int = 11
 
 
@@ -181,14 +186,16 @@ def _may_link(n_a, n_b, percent: int):
 
 
 def regions(reps: DataFrame, settings: Settings) -> DataFrame:
-    """(region, t, rest, member): a row for each document and order; rows of an order share their first
-    four values exactly if they share ``region``, and ``rest`` sorts them by the next four."""
+    """(region, t, next, then, member): a row for each document and order; rows of an order share their
+    first four values exactly if they share ``region``; the next eight follow in two longs."""
     each = reps.select("member", "sig", F.posexplode("sig").alias("t", "head"))
-    return each.select(F.xxhash64("t", "head").alias("region"), "t", F.element_at("sig", (F.col("t") + 1) % ORDERS + 1).alias("rest"), "member")
+    after = lambda n: F.element_at("sig", (F.col("t") + n) % ORDERS + 1)
+    return each.select(F.xxhash64("t", "head").alias("region"), "t", after(1).alias("next"), after(2).alias("then"), "member")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of neighbours in the sorted orders that share a region."""
+    """Pairs (a, b) of neighbours in the sorted orders that share a region: those of the longest common
+    prefixes, as deep as up to twelve values tell."""
 
     def run(stream):
         last = None
@@ -203,7 +210,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
             x, y = member[same], member[same + 1]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
 
-    ordered = rows.select("region", "member", "rest").repartitionByRange("region", "rest", "member").sortWithinPartitions("region", "rest", "member")
+    ordered = rows.select("region", "member", "next", "then").repartitionByRange("region", "next", "then", "member").sortWithinPartitions("region", "next", "then", "member")
     return ordered.mapInArrow(run, PAIRS)
 
 
@@ -302,6 +309,60 @@ def _search_block(members: pa.RecordBatch, s: Settings) -> tuple[list[int], list
     return src, dst
 
 
+def _counted(sets: DataFrame, buckets: int) -> np.ndarray:
+    """How often the shingles of each bucket occur: ``buckets`` numbers."""
+
+    def run(stream):
+        count = np.zeros(buckets, np.int64)
+        for batch in stream:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            count += np.bincount((flat % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["bucket", "n"])
+
+    out = np.zeros(buckets, np.int64)
+    found = sets.select("set").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def rarest(values: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(the shingles that a larger partner is found by, rarest first; how many of them find it a smaller
+    one).  The order is by bucket count and then hash, the same for all documents."""
+    n = len(values)
+    by = np.lexsort((values, count[(values % np.uint64(len(count))).astype(np.int64)]))
+    as_larger = n - -(-percent * n // 100) + 1
+    as_smaller = n - -(-2 * percent * n // (100 + percent)) + 1
+    return values[by[:as_larger]], as_smaller
+
+
+def parted(hot: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """(region, t, member, label): the documents of hot(member, label) that are connected with one of
+    another component by shared rare shingles; ``region`` is the same for all that are connected."""
+    s = settings
+    own = sets.join(_few(hot), "member")
+    count = hot.sparkSession.sparkContext.broadcast(_counted(own, s.buckets))
+
+    def run(stream):
+        for batch in stream:
+            member, label, shingle, small = [], [], [], []
+            for i in range(batch.num_rows):
+                values, first = rarest(batch.column(2)[i].values.to_numpy().view(np.uint64), count.value, s.percent)
+                shingle.append(values)
+                small.append(np.arange(len(values)) < first)
+                member.append(np.full(len(values), batch.column(0)[i].as_py()))
+                label.append(np.full(len(values), batch.column(1)[i].as_py()))
+            if member:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle).view(np.int64)), pa.array(np.concatenate(small)), pa.array(np.concatenate(member), pa.int64()), pa.array(np.concatenate(label), pa.int64())], names=["shingle", "small", "member", "label"])
+
+    rows = scratch.table(own.select("member", "label", "set").mapInArrow(run, "shingle long, small boolean, member long, label long"), "rare")
+    groups = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("small"), F.min("member").alias("hub"))
+    shared = scratch.table(groups.where("lo <> hi AND small").select("shingle", "hub"), "shared")
+    edges = rows.join(shared, "shingle").select(F.col("member").alias("src"), F.col("hub").alias("dst"))
+    found = components(edges).select(F.col("id").alias("member"), F.col("component").alias("region"))
+    return hot.join(found, "member").select("region", F.lit(0).alias("t"), "member", "label")
+
+
 def across(rows: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """Links between documents of different components that share a region, as edges (src, dst).
 
@@ -312,10 +373,15 @@ def across(rows: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame,
     mixed = named.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("region", "size")
     mixed = scratch.table(mixed, "mixed")
     inside = named.join(mixed, "region")
-    heaps = F.ceil(F.col("size") / s.block).cast("int")
-    own = F.pmod(F.xxhash64("member", "region"), heaps).cast("int")
-    dealt = inside.select("region", "t", "member", "label", own.alias("heap"), F.explode(F.sequence(F.lit(0), heaps - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("region", F.least("heap", "other"), F.greatest("heap", "other")).alias("block"), "t", (F.col("heap") != F.col("other")).alias("cross"), "heap", "member", "label")
+    sized = inside.where(F.col("size") <= s.block).select("region", "t", "member", "label", F.lit(1).alias("heaps"))
+    if mixed.where(F.col("size") > s.block).limit(1).count():
+        hot = scratch.table(inside.where(F.col("size") > s.block).select("member", "label").distinct(), "hot")
+        clusters = scratch.table(parted(hot, sets, s), "clusters")
+        sizes = clusters.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("heaps"))
+        sized = sized.unionByName(clusters.join(sizes, "region"))
+    own = F.pmod(F.xxhash64("member", "region"), F.col("heaps")).cast("int")
+    dealt = sized.select("region", "t", "member", "label", own.alias("heap"), F.explode(F.sequence(F.lit(0), F.col("heaps") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("region", "t", F.least("heap", "other"), F.greatest("heap", "other")).alias("block"), "t", (F.col("heap") != F.col("other")).alias("cross"), "heap", "member", "label")
     loaded = dealt.join(reps.select("member", "n", "sig"), "member").join(sets, "member").select("block", "t", "cross", "heap", "member", "label", "n", "sig", "set")
 
     def run(stream):
@@ -341,7 +407,7 @@ def placed(docs: DataFrame, settings: Settings) -> DataFrame:
 
     rows = regions(reps, s)
     crowded = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("region")
-    rows = scratch.table(rows.join(crowded, "region", "left_semi").select("region", "t", "rest", "member"), "regions")
+    rows = scratch.table(rows.join(crowded, "region", "left_semi"), "regions")
     near = rows.select("member").distinct()
     reps = scratch.table(reps.join(near, "member", "left_semi"), "reps")
 

@@ -104,6 +104,42 @@ def test_mixed_regions_are_searched_in_parts(make_docs, prose):
     assert sorted(map(str, one.drop("row").collect())) == sorted(map(str, two.drop("row").collect()))
 
 
+def family(n, seed, common=257, own=43):
+    """Documents that share 257 of their 300 shingles each: similarity 0.75, no link."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(common)]
+    return [" ".join(base + [f"u{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_a_template_that_many_fill_in(make_docs):
+    texts = family(400, 6)
+    texts += [t.replace("u", "U", 3).rsplit(" ", 8)[0] + f" x{i}" * 6 for i, t in enumerate(texts[::7])]  # true copies of some
+    rows = list(enumerate(texts))
+    sets = [shingles(t, 2) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(links) >= 57
+    want = components(len(rows), links)
+    for block in (16, 512):
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.link(make_docs(rows), near_dup.Settings(words=2, block=block)).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
+def test_rarest_shingles_meet_for_every_link():
+    rng = np.random.default_rng(12)
+    count = rng.integers(0, 5, 64)
+    for _ in range(3000):
+        whole = rng.choice(1 << 40, size=rng.integers(1, 40), replace=False).astype(np.uint64)
+        drop = rng.integers(0, max(1, len(whole) // 5) + 1)
+        x, y = np.sort(whole[drop:]), np.sort(whole[: len(whole) - rng.integers(0, len(whole) // 5 + 1)])
+        x, y = sorted((x, y), key=len)
+        both = len(np.intersect1d(x, y))
+        if len(x) and 100 * both >= 80 * (len(x) + len(y) - both):
+            small, first = near_dup.rarest(x, count, 80)
+            assert np.isin(small[:first], near_dup.rarest(y, count, 80)[0]).any()
+
+
 def test_empty_tables(spark, make_docs):
     none = make_docs([(1, "x")]).where("false")
     assert near_dup.link(none).count() == 0
