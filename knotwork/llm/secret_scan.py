@@ -1,16 +1,17 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every text is a version of a path (its document) and is addressed by its SHA-256.  The ledger
-holds the blobs that each version of each rule has been run on, and what it found.  A run
-screens the texts with one cheap test, looks up the ledger, runs the rules only on pairs of
-blob and rule version that it does not hold, and joins findings back to all paths.  Only
-texts that pass the screen travel through a shuffle, once for each distinct blob; all others
-have no finding by construction.  DataFrame functions only.
+holds which rules, by version, each blob has been through, and what they found, clean blobs
+included.  A run hashes all texts, looks the ledger up by blob, and takes one path of each blob
+with a rule to run; no pattern is tried on any other text.  Findings are joined back to all
+paths by blob.  Only texts with a finding may travel through a shuffle, as long as the lists of
+blobs to scan or to leave out stay under ``_LISTED`` rows; beyond that, texts are joined by blob.
+DataFrame functions only.
 
 Defined results: a null text counts as empty; a null doc_id is a path like any other;
-repeated rows are paths of one blob and each gets the findings; spans are in code points, end
-exclusive; an empty table gives an empty table; only ``doc_id`` and ``text`` are read, so
-further columns cannot clash.
+repeated rows are paths of one blob and each gets the findings (rows that repeat id and text are
+each scanned, with one result); spans are in code points, end exclusive; an empty table gives an
+empty table; only ``doc_id`` and ``text`` are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from knotwork.plans import scratch
 
 
+_LISTED = 300_000  # rows of a hash of 32 bytes and a long that a broadcast may hold, 20 MB or so
+
+
 @dataclass(frozen=True)
 class Rule:
     """A match counts if its group ``group`` has ``least`` characters; matches are leftmost and
@@ -37,6 +41,10 @@ class Rule:
     needs: tuple[str, ...] = ()
     base: bool = False
 
+    @property
+    def name(self) -> str:
+        return f"{self.kind}@{self.version}"
+
 
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -64,81 +72,104 @@ def may_match(text: Column, rule: Rule) -> Column:
     return F.coalesce(literal & text.rlike(rule.pattern), F.lit(False))
 
 
-def screened(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Paths with their blob; ``body`` is the text where some rule may match, else null."""
-    hit = reduce(lambda a, b: a | b, [may_match(F.col("text"), r) for r in rules])
-    return docs.select("doc_id", blob_of(F.col("text")).alias("blob"), F.when(hit, F.col("text")).alias("body"))
+def _listed(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is small; df is a stored table of blobs."""
+    return F.broadcast(df) if df.count() <= _LISTED else df
+
 
+def addressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, blob) of every path, a stored table."""
+    return scratch.table(docs.select("doc_id", blob_of(F.col("text")).alias("blob")), "paths")
 
-def unseen(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, rule, version, body) of each pair that the ledger does not hold."""
-    blobs = paths.where(F.col("body").isNotNull()).groupBy("blob").agg(F.first("body").alias("body"))
-    every = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+
+def due(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, path, copies, todo) of each blob with rules that the ledger does not hold for it, a stored
+    table: the smallest path's id, the number of paths, and the names of those rules."""
+    every = F.array(*[F.lit(r.name) for r in rules])
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("path"), F.count(F.lit(1)).alias("copies"))
     if ledger is None:
-        work = blobs.withColumn("todo", every)
-    else:  # pairs are compared without their texts, which then join once a blob
-        known = ledger.select("blob", "rule", "version").distinct()
-        fresh = blobs.select("blob", F.explode(every).alias("r")).select("blob", "r.rule", "r.version").join(known, ["blob", "rule", "version"], "left_anti")
-        work = blobs.join(fresh.groupBy("blob").agg(F.collect_list(F.struct("rule", "version")).alias("todo")), "blob")
-    return work.select("blob", "body", F.explode("todo").alias("r")).select("blob", "r.rule", "r.version", "body")
+        return scratch.table(blobs.withColumn("todo", every), "due")
+    known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("done"))).alias("done"))
+    left = blobs.join(known, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
+    return scratch.table(left.where(F.size("todo") > 0).select("blob", "path", "copies", "todo"), "due")
+
+
+def unseen(docs: DataFrame, work: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, todo, text) of the texts that rules are run on: one path of each blob in ``work``."""
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), blob_of(F.col("text")).alias("blob"))
+    mine = F.col("doc_id").eqNullSafe(F.col("path"))
+    if ledger is None:  # every blob is due; only copies are left out
+        copied = scratch.table(work.where("copies > 1").select("blob", "path", F.lit(True).alias("copied")), "copied")
+        picked = hashed.join(_listed(copied), "blob", "left").where(F.col("copied").isNull() | mine)
+        return picked.select("blob", F.array(*[F.lit(r.name) for r in rules]).alias("todo"), "text")
+    return hashed.join(_listed(work.select("blob", "path", "todo")), "blob").where(mine).select("blob", "todo", "text")
+
+
+def screened(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rule, text) of the rules to do that match somewhere in a text."""
+    hit = [F.when(F.array_contains("todo", r.name) & may_match(F.col("text"), r), F.lit(r.name)) for r in rules]
+    some = texts.select("blob", "text", F.array_compact(F.array(*hit)).alias("hit")).where(F.size("hit") > 0)
+    return some.dropDuplicates(["blob"]).select("blob", F.explode("hit").alias("rule"), "text")
 
 
 def matches(pairs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, version, start, stop) of every finding in the pairs' bodies.
+    """(blob, rule, start, stop) of every finding in pairs(blob, rule, text).
 
     The text between matches comes from ``split``, so offsets are running sums of lengths: linear
     in the matches, however many a long text holds."""
     none = F.array().cast("array<string>")
-    pick = lambda make: reduce(lambda rest, r: F.when((F.col("rule") == r.kind) & may_match(F.col("body"), r), make(r)).otherwise(rest), rules, none)
+    pick = lambda make: reduce(lambda rest, r: F.when(F.col("rule") == r.name, make(r)).otherwise(rest), rules, none)
     found = pairs.select(
         "blob",
         "rule",
-        "version",
         F.posexplode(
             F.arrays_zip(
-                F.transform(pick(lambda r: F.split("body", r.pattern, -1)), F.length).alias("gap"),
-                F.transform(pick(lambda r: F.regexp_extract_all("body", F.lit(r.pattern), F.lit(0))), F.length).alias("size"),
-                F.transform(pick(lambda r: F.regexp_extract_all("body", F.lit(r.pattern), F.lit(r.group))), F.length).alias("value"),
+                F.transform(pick(lambda r: F.split("text", r.pattern, -1)), F.length).alias("gap"),
+                F.transform(pick(lambda r: F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))), F.length).alias("size"),
+                F.transform(pick(lambda r: F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))), F.length).alias("value"),
             )
         ).alias("n", "m"),
     )
     upto = Window.partitionBy("blob", "rule").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = F.sum(F.col("m.gap") + F.coalesce("m.size", F.lit(0))).over(upto)
-    least = reduce(lambda rest, r: F.when(F.col("rule") == r.kind, F.lit(r.least)).otherwise(rest), rules, F.lit(0))
+    least = reduce(lambda rest, r: F.when(F.col("rule") == r.name, F.lit(r.least)).otherwise(rest), rules, F.lit(0))
     return (
         found.withColumn("stop", ends)
         .where(F.col("m.size").isNotNull() & (F.col("m.value") >= least))
-        .select("blob", "rule", "version", (F.col("stop") - F.col("m.size")).cast("long").alias("start"), F.col("stop").cast("long"))
+        .select("blob", "rule", (F.col("stop") - F.col("m.size")).cast("long").alias("start"), F.col("stop").cast("long"))
     )
 
 
 @dataclass
 class Scan:
-    """paths(doc_id, blob, body), ledger(blob, rule, version, spans) and blobs(blob, hits) with each
-    blob's findings of the current rule versions, by start and then the rules' order."""
+    """paths(doc_id, blob), ledger(blob, done, spans) and blobs(blob, hits) with each blob's findings of
+    the current rule versions, by start and then the rules' order."""
 
     paths: DataFrame
     ledger: DataFrame
     blobs: DataFrame
 
 
+SPANS = "array<struct<rule:string,start:bigint,stop:bigint>>"
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> Scan:
-    paths = scratch.table(screened(docs, rules), "paths")
-    pairs = unseen(paths, ledger, rules)
-    found = matches(pairs, rules).groupBy("blob", "rule", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    # Findings carry the blob; pairs without one are remembered with no span, so that they count as seen.
-    rows = scratch.table(
-        pairs.select("blob", "rule", "version").join(found, ["blob", "rule", "version"], "left").select("blob", "rule", "version", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans")),
-        "ledger",
-    )
+    """Scan what the ledger of earlier runs does not hold; the result's ledger is that one with this
+    run's blobs, those without a finding too."""
+    paths = addressed(docs)
+    work = due(paths, ledger, rules)
+    found = matches(screened(unseen(docs, work, ledger, rules), rules), rules).groupBy("blob").agg(F.collect_list(F.struct("rule", "start", "stop")).alias("spans"))
+    rows = scratch.table(work.join(found, "blob", "left").select("blob", F.col("todo").alias("done"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), "ledger")
     whole = rows if ledger is None else ledger.select(rows.columns).unionByName(rows)
-    order = F.map_from_arrays(F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(i) for i in range(len(rules))]))
-    current = reduce(lambda a, b: a | b, [(F.col("rule") == r.kind) & (F.col("version") == r.version) for r in rules])
+    order = F.map_from_arrays(F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(i) for i in range(len(rules))]))
+    kind = F.map_from_arrays(F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(r.kind) for r in rules]))
+    rule = F.col("s.rule")
     hits = (
-        whole.where(current & (F.size("spans") > 0))
-        .select("blob", "rule", F.explode("spans").alias("s"))
+        whole.where(F.size("spans") > 0)
+        .select("blob", F.explode("spans").alias("s"))
+        .where(rule.isin([r.name for r in rules]))
         .groupBy("blob")
-        .agg(F.sort_array(F.collect_set(F.struct(F.col("s.start").alias("start"), F.element_at(order, F.col("rule")).alias("kind_order"), F.col("s.stop").alias("stop"), F.col("rule").alias("kind")))).alias("hits"))
+        .agg(F.sort_array(F.collect_set(F.struct(F.col("s.start").alias("start"), F.element_at(order, rule).alias("kind_order"), F.col("s.stop").alias("stop"), F.element_at(kind, rule).alias("kind")))).alias("hits"))
     )
     return Scan(paths, whole, scratch.table(hits, "hits"))
 
@@ -165,26 +196,24 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def masked(text: Column, hits: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by ``mask``."""
-    state = F.aggregate(
-        hits,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, h: F.struct(
-            F.when(h["start"] >= acc["at"], F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), (h["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], h["stop"]).alias("at"),
-        ),
-    )
-    return F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), F.length(text)))
+    """The text with every span, overlapping ones as one, replaced by ``mask``: the stretches that are kept,
+    joined once, so that no text is copied a hit."""
+    stops = F.transform(hits, lambda h: h["stop"])
+    reach = lambda i: F.array_max(F.slice(stops, F.lit(1), i))  # noqa: E731  furthest stop of the first i spans
+    # a span that begins within what the ones before it reach adds nothing to keep
+    cuts = F.transform(hits, lambda h, i: F.struct(F.coalesce(F.when(i > 0, reach(i)), F.lit(0)).alias("at"), h["start"].alias("to")))
+    kept = F.transform(F.filter(cuts, lambda c: c["to"] >= c["at"]), lambda c: text.substr((c["at"] + 1).cast("int"), (c["to"] - c["at"]).cast("int")))
+    return F.concat(F.array_join(kept, mask), F.lit(mask), text.substr((F.array_max(stops) + 1).cast("int"), F.length(text)))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the secrets in ``text`` masked; columns and all rows stay.  Rows that the screen
-    lets pass untouched are never shuffled."""
+    """docs with the secrets in ``text`` masked; columns and all rows stay.  Rows without a finding are
+    not shuffled unless very many blobs have one."""
     result = scan(docs, None, rules)
-    hit = reduce(lambda a, b: a | b, [may_match(F.col("text"), r) for r in rules])
-    hot = docs.where(hit).withColumn("__blob", blob_of(F.col("text"))).join(result.blobs.select(F.col("blob").alias("__blob"), F.col("hits").alias("__hits")), "__blob", "left")
-    cured = hot.withColumn("text", F.when(F.col("__hits").isNotNull(), masked(F.col("text"), F.col("__hits"))).otherwise(F.col("text"))).select(*docs.columns)
-    return docs.where(~hit).unionByName(cured)
+    hot = _listed(scratch.table(result.blobs.select(F.col("blob").alias("__blob")), "hot"))
+    hashed = docs.withColumn("__blob", blob_of(F.col("text")))
+    cured = hashed.join(hot, "__blob", "left_semi").join(result.blobs.select(F.col("blob").alias("__blob"), F.col("hits").alias("__hits")), "__blob")
+    return hashed.join(hot, "__blob", "left_anti").select(*docs.columns).unionByName(cured.withColumn("text", masked(F.col("text"), F.col("__hits"))).select(*docs.columns))
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

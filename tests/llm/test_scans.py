@@ -53,16 +53,50 @@ def test_oracle_agrees(make_docs):
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, want))
 
 
-def test_ledger_scans_only_what_is_new(make_docs):
-    first = secret_scan.scan(make_docs(TEXTS))
-    assert secret_scan.unseen(first.paths, first.ledger, secret_scan.RULES).count() == 0
-    more = make_docs(TEXTS + [(50, "token=brandnewone")])
-    second = secret_scan.scan(more, first.ledger)
-    assert second.ledger.count() == first.ledger.count() + len(secret_scan.RULES)
-    whole = secret_scan.digest(secret_scan.findings(secret_scan.scan(more)))
-    assert sorted(map(str, secret_scan.digest(secret_scan.findings(second)).collect())) == sorted(map(str, whole.collect()))
+def scanned(docs, ledger, rules=secret_scan.RULES):
+    """(text, rules) that patterns are tried on."""
+    work = secret_scan.due(secret_scan.addressed(docs), ledger, rules)
+    return sorted((r["text"], len(r["todo"])) for r in secret_scan.unseen(docs, work, ledger, rules).collect())
+
+
+def test_patterns_run_once_on_each_unseen_blob(make_docs, monkeypatch):
+    docs = make_docs(TEXTS)
+    texts = sorted({(t or "", len(secret_scan.RULES)) for _, t in TEXTS})
+    assert scanned(docs, None) == texts  # copies, nulls and empty texts once
+    first = secret_scan.scan(docs)
+    assert first.ledger.count() == len(texts)  # clean blobs are entered too
+    assert scanned(docs, first.ledger) == []
+    more = make_docs([*TEXTS, (50, "token=brandnewone"), (51, "token=brandnewone"), (52, "new but clean")])
+    for bound in (secret_scan._LISTED, 0):  # lists of blobs broadcast, and too long for that
+        monkeypatch.setattr(secret_scan, "_LISTED", bound)
+        assert scanned(more, first.ledger) == [("new but clean", 6), ("token=brandnewone", 6)]
+        assert scanned(docs, None) == texts
+        second = secret_scan.scan(more, first.ledger)
+        assert second.ledger.count() == first.ledger.count() + 2
+        whole = secret_scan.digest(secret_scan.findings(secret_scan.scan(more)))
+        assert sorted(map(str, secret_scan.digest(secret_scan.findings(second)).collect())) == sorted(map(str, whole.collect()))
     newer = tuple(secret_scan.Rule(r.kind, 2 if r.kind == "hex" else 1, r.pattern, r.group, r.least, r.needs, r.base) for r in secret_scan.RULES)
-    assert {r["rule"] for r in secret_scan.unseen(first.paths, first.ledger, newer).select("rule").distinct().collect()} == {"hex"}
+    assert scanned(docs, first.ledger, newer) == [(t, 1) for t, _ in texts]  # only the rule of the new version
+    again = secret_scan.scan(docs, first.ledger, newer)
+    assert sorted(map(str, secret_scan.digest(secret_scan.findings(again)).collect())) == sorted(map(str, secret_scan.digest(secret_scan.findings(first)).collect()))
+    assert scanned(docs, again.ledger, newer) == []
+
+
+def test_masks_of_overlapping_and_many_spans(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choice("aé😀x") for _ in range(rng.randrange(1, 60)))
+        spans = sorted({(a, rng.randrange(4), rng.randrange(a + 1, len(text) + 1)) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(1, 6)))})
+        rows.append((i, text, spans))
+    frame = spark.createDataFrame(rows, "i int, text string, hits array<struct<start:bigint,kind_order:int,stop:bigint>>")
+    for r in frame.withColumn("out", secret_scan.masked(F.col("text"), F.col("hits"))).collect():
+        want, at = "", 0
+        for h in r["hits"]:
+            if h["start"] >= at:
+                want += r["text"][at : h["start"]] + "[SECRET]"
+            at = max(at, h["stop"])
+        assert r["out"] == want + r["text"][at:]
 
 
 def test_redaction(make_docs):
