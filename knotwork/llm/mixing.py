@@ -2,16 +2,16 @@
 
 The words of a source's documents, in a pseudorandom order, form one stream that is packed
 into blocks of ``block`` words (the last one may be shorter).  Source weights become targets
-in words, none above ``most`` times its source, and targets become slots.  Output shards hold
-a fixed number of slots each; how many of them go to each source is a multinomial draw,
-conditioned on every source's total, so that the whole mix meets its targets.  A source's
-n-th slot is mapped through pseudorandom permutations of its block numbers, one for each pass
-over the source, and joined with the blocks by number.  The last slot of a source is cut to
-the words that its target still lacks.
+in words, none above ``most`` times its source, and targets become slots.  How many of a
+source's slots go to each output shard is a multinomial draw, made by halving the shards and
+drawing a binomial at each node, so that every range of shards can be drawn alone and a
+source's counts add up to its slots.  Shards hold ``shard`` slots on average.  A source's n-th
+slot is mapped through pseudorandom permutations of its block numbers, one for each pass over
+the source, and joined with the blocks by number.  The last slot of a source is cut to the
+words that its target still lacks, so that targets are met to a word.
 
-Nothing but one row a source (at most ``SOURCES`` of them; beyond that shards are dealt by
-hash) reaches the driver.  Running offsets are two-level sums, about sqrt(n) rows in each
-window, so that a hot source is as spread as any other.
+No table reaches the driver, only sums.  Running offsets are two-level sums, about sqrt(n) rows in
+each window, so that a hot source is as spread as any other; its slots are drawn in parts.
 
 Defined results: null texts count no word and a null source is a source of its own, last in
 order; documents without words are never taken; rows that repeat are documents of their own;
@@ -24,20 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.plans import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-SOURCES = 1 << 16  # sources whose shares are drawn shard by shard
-_DRAWN = 900_000_000  # slots up to which numpy draws a split; larger ones are split in proportion
+_DRAWN = 1 << 16  # slots that are made together
 
 
 @dataclass(frozen=True)
 class Settings:
     block: int = 256  # words
-    shard: int = 1024  # slots
+    shard: int = 1024  # slots of an output shard, on average
     most: int = 3  # times that a source may be taken
     seed: int = 29
 
@@ -86,36 +85,52 @@ def cycle_weight(place: Column) -> Column:
     return ((place - 1) % 3 + 1).cast("double")
 
 
+def ranked(totals: DataFrame) -> DataFrame:
+    """totals(source, ...) with ``rank``, from 1, by code point, null last: places inside sorted
+    partitions, and the number of rows in the partitions before."""
+    ordered = totals.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = scratch.checkpoint(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["__part"]: r["n"] for r in placed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a partition
+    before, base = 0, []
+    for p in sorted(sizes):
+        base.append((p, before))
+        before += sizes[p]
+    bases = totals.sparkSession.createDataFrame(base, "__part long, __base long")
+    return placed.withColumn("__part", part).join(F.broadcast(bases), "__part").withColumn("rank", F.col("__base") + place + 1).drop("__part", "__base", "__at")
+
+
 def targets(sized: DataFrame, settings: Settings = Settings(), weights: DataFrame | None = None) -> DataFrame:
     """(source, rank, source_size, target): one row a source.  ``weights`` (source, weight) replaces
     the cycle; sources that it lacks weigh 0.
 
-    Sources that reach ``most`` times their size stop there and the rest share what is left by
-    weight.  Ordered by cap over weight those are the first ones; the level of the others is the
-    first at which the next source stays below its cap, which running sums give without a loop."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    ranked = totals.select("source", "source_size", place.cast("long").alias("rank"))
+    Sources that reach ``most`` times their size stop there and the others share what is left by
+    weight, which may bring more of them to their cap: the level (words for a weight of 1) rises
+    until it does not.  Only sums over the sources reach the driver."""
+    own = ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     if weights is None:
-        ranked = ranked.withColumn("weight", cycle_weight(F.col("rank")))
+        own = own.withColumn("weight", cycle_weight(F.col("rank")))
     else:
-        own = weights.groupBy(F.col("source").alias("_s")).agg(F.max("weight").cast("double").alias("weight"))
-        ranked = ranked.join(own, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    cap = F.col("source_size") * settings.most
-    level = (F.col("total") - F.coalesce(F.sum(cap.cast("double")).over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levelled = (
-        ranked.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .where(F.col("weight") > 0)
-        .withColumn("ratio", cap / F.col("weight"))
-        .withColumn("level", level)
-        .withColumn("free", F.col("ratio") >= F.col("level"))
-    )
-    flood = F.min(F.when(F.col("free"), F.struct("ratio", "rank", "level"))).over(everything)["level"]
-    reached = levelled.withColumn("target", F.least(cap.cast("double"), F.coalesce(flood * F.col("weight"), cap.cast("double")))).select("rank", "target")
-    return ranked.join(reached, "rank", "left").select("source", "rank", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
+        given = weights.groupBy(F.col("source").alias("_s")).agg(F.max("weight").cast("double").alias("weight"))
+        own = own.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
+    own = scratch.checkpoint(own.withColumn("cap", F.col("source_size") * settings.most).withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight"))))
+    level, full = 0.0, -1
+    while True:
+        at = F.coalesce(F.col("ratio") < level, F.lit(False))
+        sums = own.agg(
+            F.sum("source_size").alias("total"),
+            F.sum(F.when(at, F.col("cap")).otherwise(0)).alias("capped"),
+            F.sum(F.when(~at, F.col("weight")).otherwise(0.0)).alias("weight"),
+            F.sum(at.cast("long")).alias("full"),
+        ).first()
+        if sums["total"] is None or not sums["weight"] or sums["full"] == full:
+            break
+        full, level = sums["full"], (sums["total"] - sums["capped"]) / sums["weight"]
+    cap = F.col("cap").cast("double")
+    target = F.when(F.col("weight") > 0, F.least(cap, F.lit(level) * F.col("weight"))).otherwise(0.0)
+    if sums["total"] is not None and not sums["weight"]:
+        target = F.when(F.col("weight") > 0, cap).otherwise(0.0)  # all are at their cap
+    return own.select("source", "rank", "source_size", target.alias("target"))
 
 
 # --- slots --------------------------------------------------------------------------------
@@ -145,87 +160,68 @@ def plan(rank: np.ndarray, size: np.ndarray, target: np.ndarray, settings: Setti
     return pd.DataFrame({"rank": rank, "size": size, "blocks": blocks, "slots": turns * blocks + last, "cut": cut})
 
 
-def _split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    total = int(counts.sum())
-    if total < _DRAWN:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    part = counts * (take / total)
-    out = np.floor(part).astype(np.int64)
-    lacking = take - int(out.sum())
-    out[np.argsort(out - part, kind="stable")[:lacking]] += 1
+def draws(rank: int, total: int, shards: int, low: int, high: int, settings: Settings) -> list[tuple[int, int, int]]:
+    """(shard, slots of a source in the shards before it, slots in it) for the shards low to high that
+    get any of its ``total`` slots: halve the shards, drawing at each node how many go to the left."""
+    out, nodes = [], [(0, shards, 0, total)]
+    while nodes:
+        a, b, before, n = nodes.pop()
+        if not n or b <= low or a >= high:
+            continue
+        if b - a == 1:
+            out.append((a, before, n))
+            continue
+        middle = (a + b) // 2
+        left = int(np.random.default_rng([settings.seed, rank, a, b]).binomial(n, (middle - a) / (b - a)))
+        nodes += [(middle, b, before + left, n - left), (a, middle, before, left)]
     return out
 
 
-def draws(slots: np.ndarray, shard: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of each source in a shard, slots of each source in the shards before it): halve the
-    shards down to this one, drawing at each node how the slots divide."""
-    total = int(slots.sum())
-    low, high = 0, max(1, -(-total // settings.shard))
-    counts, before = slots.astype(np.int64), np.zeros(len(slots), np.int64)
-    while high - low > 1:
-        middle = (low + high) // 2
-        left = _split(counts, (middle - low) * settings.shard, np.random.default_rng([settings.seed, low, high]))
-        if shard < middle:
-            high, counts = middle, left
-        else:
-            low, counts, before = middle, counts - left, before + left
-    return counts, before
-
-
+PLANNED = "rank long, size long, blocks long, slots long, cut long"
 SLOTS = "shard long, slot long, rank long, turn long, block long, take long"
 
 
-def slots(spark: SparkSession, table: pd.DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Every slot of the mix: its shard and place, and the source's block that it takes ``take`` words of."""
-    shards = max(1, -(-int(table["slots"].sum()) // settings.shard))
-    shared = spark.sparkContext.broadcast(table)  # a row a source, SOURCES at most
-    parts = int(min(shards, max(spark.sparkContext.defaultParallelism, shards // 64)))
+def planned(targeted: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``plan`` for targets(rank, source_size, target)."""
 
     def run(stream):
-        t = shared.value
-        rank, size, blocks, total, cut = (t[c].to_numpy() for c in ("rank", "size", "blocks", "slots", "cut"))
-        for frame in stream:
-            for shard in frame["id"]:
-                counts, before = draws(total, int(shard), settings)
-                who = np.repeat(np.arange(len(counts)), counts)
-                nth = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts) + before[who]
-                turn, index = nth // blocks[who], nth % blocks[who]
-                block = permuted(index, blocks[who], _key(settings.seed, rank[who], turn))
-                take = np.minimum(settings.block, size[who] - block * settings.block)
-                final = (nth == total[who] - 1) & (cut[who] > 0)
-                take[final] = np.minimum(take, cut[who])[final]
-                place = np.random.default_rng([settings.seed, int(shard), 1]).permutation(len(who))
-                yield pd.DataFrame({"shard": shard, "slot": place, "rank": rank[who], "turn": turn, "block": block, "take": take})
+        for t in stream:
+            yield plan(t["rank"].to_numpy(np.int64), t["source_size"].to_numpy(np.int64), t["target"].to_numpy(np.float64), settings)
 
-    return spark.range(0, shards, 1, parts).mapInPandas(run, SLOTS)
+    return scratch.table(targeted.select("rank", "source_size", "target").mapInPandas(run, PLANNED), "planned")
 
 
-def dealt(planned: DataFrame, settings: Settings, shards: int) -> DataFrame:
-    """``slots`` for more sources than a driver should hold: each source's slots choose their shards
-    by hash, which draws the counts of all shards at once."""
+def slots(table: DataFrame, shards: int, settings: Settings = Settings()) -> DataFrame:
+    """Every slot of the mix: its shard, its place there (in ascending order of ``slot``), and the
+    source's block that it takes ``take`` words of."""
+    parts = F.greatest(F.lit(1), F.least(F.lit(shards), F.ceil(F.col("slots") / _DRAWN)))
 
     def run(stream):
         for frame in stream:
             for p in frame.itertuples():
-                t = plan(np.array([p.rank]), np.array([p.source_size]), np.array([p.target]), settings).iloc[0]
-                for low in range(0, int(t["slots"]), 1 << 16):
-                    nth = np.arange(low, min(low + (1 << 16), int(t["slots"])))
-                    rank = np.full(len(nth), p.rank)
-                    turn, index = nth // t["blocks"], nth % t["blocks"]
-                    block = permuted(index, np.full(len(nth), t["blocks"]), _key(settings.seed, rank, turn))
-                    take = np.minimum(settings.block, t["size"] - block * settings.block)
-                    if t["cut"] and nth[-1] == t["slots"] - 1:
-                        take[-1] = min(take[-1], t["cut"])
-                    where = _key(settings.seed, rank, nth + 7)
-                    yield pd.DataFrame({"shard": permuted(where % np.uint64(shards), np.full(len(nth), shards), np.zeros(len(nth))), "slot": nth, "rank": rank, "turn": turn, "block": block, "take": take})
-
-    return planned.mapInPandas(run, SLOTS)
+                drawn = draws(p.rank, p.slots, shards, p.part * shards // p.parts, (p.part + 1) * shards // p.parts, settings)
+                for i in range(0, len(drawn), 64):
+                    some = np.array(drawn[i : i + 64])
+                    for c in range(some[0, 1], some[-1, 1] + some[-1, 2], _DRAWN):
+                        nth = np.arange(c, min(c + _DRAWN, some[-1, 1] + some[-1, 2]))
+                        rank, size, blocks = (np.full(len(nth), x) for x in (p.rank, p.size, p.blocks))
+                        turn, index = nth // blocks, nth % blocks
+                        block = permuted(index, blocks, _key(settings.seed, rank, turn))
+                        take = np.minimum(settings.block, size - block * settings.block)
+                        if p.cut and nth[-1] == p.slots - 1:
+                            take[-1] = min(take[-1], p.cut)
+                        shard = some[np.searchsorted(some[:, 1], nth, side="right") - 1, 0]
+                        place = (_key(settings.seed + 1, rank, nth) >> np.uint64(1)).astype(np.int64)
+                        yield pd.DataFrame({"shard": shard, "slot": place, "rank": rank, "turn": turn, "block": block, "take": take})
+
+    spread = table.where("slots > 0").withColumn("parts", parts.cast("long")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return spread.repartition("rank", "part").mapInPandas(run, SLOTS)
 
 
 # --- blocks -------------------------------------------------------------------------------
 
 
-def pieces(sized: DataFrame, planned: DataFrame, rows: int, settings: Settings = Settings()) -> DataFrame:
+def pieces(sized: DataFrame, targeted: DataFrame, rows: int, settings: Settings = Settings()) -> DataFrame:
     """(rank, block, row, start, length, at): the part of a document, from word ``start``, that lies
     in a block of its source's stream from word ``at`` of the block."""
     heaps = max(1, int(rows**0.5))
@@ -233,7 +229,7 @@ def pieces(sized: DataFrame, planned: DataFrame, rows: int, settings: Settings =
     heads = own.groupBy("source", "heap").agg(F.sum("size").alias("heap_size"))
     upto = lambda *order: Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("source", "heap", F.coalesce(F.sum("heap_size").over(upto("source", "heap")), F.lit(0)).alias("heap_start"))
-    ranks = planned.select(F.col("source").alias("_s"), "rank")
+    ranks = targeted.select(F.col("source").alias("_s"), "rank")
     heads = heads.join(ranks, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     inner = own.withColumn("within", F.coalesce(F.sum("size").over(upto("source", "heap", "row")), F.lit(0)))
     both = inner.alias("i").join(heads.alias("h"), F.col("i.source").eqNullSafe(F.col("h.source")) & (F.col("i.heap") == F.col("h.heap")))
@@ -258,22 +254,15 @@ class Mix:
 
 def mix(docs: DataFrame, keys: dict[str, Column], settings: Settings = Settings(), weights: DataFrame | None = None) -> Mix:
     """Mix docs(text, source); ``keys`` are columns that identify documents to the caller."""
-    spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in keys.items()], F.col("source").alias("source"), size.alias("size")), "sized")
-    planned = scratch.table(targets(sized, settings, weights), "targets")
-    rows = sized.count()
-    few = planned.select("rank", "source_size", "target").orderBy("rank").limit(SOURCES + 1).collect()
-    if len(few) <= SOURCES:
-        table = plan(*(np.array([r[c] for r in few], dtype=t) for c, t in (("rank", np.int64), ("source_size", np.int64), ("target", np.float64))), settings)
-        chosen = slots(spark, table, settings)
-    else:
-        total = planned.agg(F.sum("target")).first()[0] or 0
-        chosen = dealt(planned.select("rank", "source_size", "target"), settings, max(1, int(total // settings.block // settings.shard)))
-    chosen = scratch.table(chosen, "slots")  # real sizes: the planner can't guess how many slots a shard makes
-    joined = chosen.join(pieces(sized, planned, rows, settings), ["rank", "block"])
+    targeted = scratch.table(targets(sized, settings, weights), "targets")
+    table = planned(targeted, settings)
+    total = table.agg(F.sum("slots")).first()[0] or 0
+    chosen = scratch.table(slots(table, max(1, -(-total // settings.shard)), settings), "slots")  # real sizes: the planner can't guess them
+    joined = chosen.join(pieces(sized, targeted, sized.count(), settings), ["rank", "block"])
     words = F.least(F.col("at") + F.col("length"), F.col("take")) - F.col("at")
-    return Mix(sized, planned, joined.where(F.col("at") < F.col("take")).select("shard", "slot", "turn", "row", "start", words.alias("words")))
+    return Mix(sized, targeted, joined.where(F.col("at") < F.col("take")).select("shard", "slot", "turn", "row", "start", words.alias("words")))
 
 
 def shares(mixed: Mix) -> DataFrame:
@@ -287,17 +276,22 @@ def shares(mixed: Mix) -> DataFrame:
     )
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """128 bits that tell rows apart, by two hashes of all columns: rows that agree are copies."""
+    values = [F.map_entries(c) if t.startswith("map<") else F.col(f"`{c}`") for c, t in docs.dtypes]
+    return [F.xxhash64(*values), F.xxhash64(F.lit(1), *[x for v in values for x in (v, v.isNull())])]
+
+
 def applied(docs: DataFrame, settings: Settings = Settings(), weights: DataFrame | None = None) -> DataFrame:
     """The mix as documents: docs' columns, a row for each pass that takes words of a document.  A
     document that a pass takes whole keeps its text; of others ``text`` holds the words taken, in
     order, joined by single spaces.  Documents that the mix takes nothing of have no row."""
-    key = F.xxhash64("doc_id", "text")
-    mixed = mix(docs, {"doc_key": key}, settings, weights)
+    keys = dict(zip(("__key", "__key2"), row_keys(docs)))
+    mixed = mix(docs, keys, settings, weights)
     run = F.struct("start", "words")
-    taken = mixed.taken.groupBy("row", "turn").agg(F.sort_array(F.collect_list(run)).alias("runs"), F.sum("words").alias("words"))
-    taken = taken.join(mixed.sized.select("row", "doc_key", "size"), "row").select(F.col("doc_key").alias("__key"), "runs", (F.col("words") == F.col("size")).alias("whole"))
+    taken = mixed.taken.groupBy("row", "turn").agg(F.sort_array(F.collect_list(run)).alias("__runs"), F.sum("words").alias("__taken"))
+    taken = taken.join(mixed.sized.select("row", *keys, "size"), "row").select(*keys, "__runs", (F.col("__taken") == F.col("size")).alias("__whole"))
     word = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice("__words", (r["start"] + 1).cast("int"), r["words"].cast("int")))), " ")
-    texts = docs.withColumn("__key", key).dropDuplicates(["__key"])
-    joined = texts.join(taken.select("__key", F.col("runs").alias("__runs"), F.col("whole").alias("__whole")), "__key")
-    return joined.withColumn("__words", F.when(~F.col("__whole"), word)).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(some)).select(*docs.columns)
+    joined = docs.withColumns(keys).dropDuplicates([*keys]).join(taken, [*keys])
+    return joined.withColumn("__words", F.when(~F.col("__whole"), word)).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(some)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -156,15 +156,78 @@ def test_mix_meets_its_targets(make_docs, prose, block):
         assert abs(sum(taken) - expected[k]) <= 1
 
 
-def test_mix_reruns_agree_and_sides_agree(spark, make_docs, prose):
+def test_mix_reruns_agree(make_docs, prose):
     rows = [(i, prose(50, i), "en", f"s{i % 4}") for i in range(60)]
     run = lambda: sorted(map(tuple, mixing.shares(mixing.mix(make_docs(rows, 2), {"doc_id": F.col("doc_id")})).collect()))
     assert run() == run()
-    table = mixing.plan(np.array([1, 2]), np.array([5000, 300]), np.array([4000.0, 700.0]), mixing.Settings(block=16, shard=8))
-    drawn = mixing.slots(spark, table, mixing.Settings(block=16, shard=8)).groupBy("rank").agg(F.sum("take"), F.count("*")).collect()
-    planned = spark.createDataFrame([(1, 5000, 4000.0), (2, 300, 700.0)], "rank long, source_size long, target double")
-    hashed = mixing.dealt(planned, mixing.Settings(block=16, shard=8), 5).groupBy("rank").agg(F.sum("take"), F.count("*")).collect()
-    assert sorted(map(tuple, drawn)) == sorted(map(tuple, hashed)) and {r[1] for r in drawn} == {4000, 700}
+
+
+def test_slots_of_any_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_DRAWN", 7)  # the slots of a source are drawn in parts
+    s = mixing.Settings(block=16, shard=8)
+    given = spark.createDataFrame([(1, 5000, 4000.0), (2, 300, 700.0), (3, 40, 0.0), (4, 1, 3.0)], "rank long, source_size long, target double")
+    table = mixing.planned(given, s)
+    rows = mixing.slots(table, 30, s).collect()
+    words, per, places = Counter(), Counter(), defaultdict(set)
+    for r in rows:
+        words[r["rank"]] += r["take"]
+        per[r["rank"], r["turn"], r["block"]] += 1
+        places[r["shard"]].add(r["slot"])
+    assert words == {1: 4000, 2: 700, 4: 3} and set(per.values()) == {1}
+    assert sum(map(len, places.values())) == len(rows) and set(places) <= set(range(30))
+
+
+def test_shard_counts_are_multinomial():
+    s = mixing.Settings()
+    whole = mixing.draws(5, 6000, 24, 0, 24, s)
+    assert sum(n for *_, n in whole) == 6000 and [b for _, b, _ in whole] == np.cumsum([0, *[n for *_, n in whole]])[:-1].tolist()
+    assert [x for low in range(0, 24, 5) for x in mixing.draws(5, 6000, 24, low, min(low + 5, 24), s)] == whole
+    many = np.array([[n for *_, n in mixing.draws(rank, 2400, 24, 0, 24, s)] for rank in range(1, 201)])
+    assert abs(many.mean() - 100) < 1e-9 and abs(many.std() - (2400 * (1 / 24) * (23 / 24)) ** 0.5) < 0.5
+    assert abs(np.corrcoef(many.T) - np.eye(24)).max() < 0.35  # 1/23 and the noise of 200 draws
+    assert sum(n for *_, n in mixing.draws(1, 5 * 10**12, 4, 0, 4, s)) == 5 * 10**12  # no number of slots is too large
+
+
+def test_taken_words_of_each_document(make_docs, prose):
+    """Streams, blocks and slots laid out word by word."""
+    rng = random.Random(9)
+    docs = make_docs([(i, prose(rng.randrange(0, 90), i), "en", rng.choice("abc")) for i in range(80)])
+    s = mixing.Settings(block=16, shard=8)
+    mixed = mixing.mix(docs, {"doc_id": F.col("doc_id")}, s)
+    heaps = max(1, int(mixed.sized.count() ** 0.5))
+    order = mixed.sized.where("size > 0").withColumn("heap", F.pmod(F.xxhash64("row"), F.lit(heaps))).orderBy("heap", "row").collect()
+    stream = defaultdict(list)
+    for r in order:
+        stream[r["source"]] += [r["doc_id"]] * r["size"]
+    rank = {r["source"]: r["rank"] for r in mixed.targets.collect()}
+    table = mixing.planned(mixed.targets, s)
+    chosen = mixing.slots(table, max(1, -(-table.agg(F.sum("slots")).first()[0] // s.shard)), s).collect()
+    want = Counter()
+    for name, words in stream.items():
+        for r in chosen:
+            if r["rank"] == rank[name]:
+                want.update(words[r["block"] * 16 : (r["block"] + 1) * 16][: r["take"]])
+    got = {r["doc_id"]: r["taken"] for r in mixing.shares(mixed).collect()}
+    assert {d: n for d, n in got.items() if n} == dict(want)
+
+
+def test_equal_texts_of_two_sources_stay_apart(make_docs, prose):
+    rows = [(1, prose(100, 1), "en", "a"), (1, prose(100, 1), "en", "b"), (1, prose(100, 1), "en", "b"), (2, prose(1, 2), "en", "a")]
+    held = Counter()
+    for r in mixing.applied(make_docs(rows)).collect():
+        held[r["source"]] += len(r["text"].split())
+    want = targets({"a": 101, "b": 200})
+    assert {k: round(v) for k, v in want.items()} == dict(held)
+
+
+def test_sources_at_their_caps(make_docs, spark):
+    rows = [(i, "w " * n, None, f"s{i:03}") for i, n in enumerate([1000, 1, 1, 1, 0, 7, 50, 3, 9, 200, 0, 2])]
+    sizes = Counter({s: len(t.split()) for _, t, _, s in rows})
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    assert got == pytest.approx(targets(sizes))
+    given = spark.createDataFrame([("s000", 0.0), ("s009", 2.5), ("s009", 1.0), ("s005", 1.0)], "source string, weight double")
+    few = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long"), weights=given).collect()}
+    assert {s for s, t in few.items() if t} == {"s009", "s005"} and few["s009"] == 600 and few["s005"] == 21
 
 
 def test_permutations():
