@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.contraction import star_contraction
-from knotwork.operators.structure import numbered_neighbors
+from knotwork.operators.contraction import components
+from knotwork.operators.structure import first_neighbors
 from knotwork.plans import scratch
 from knotwork.plans.fixpoint import Result
 from knotwork.plans.graphs import Graph
@@ -30,15 +30,15 @@ def giant(labels: DataFrame) -> int | None:
 
 def afforest(graph: Graph, rounds: int = 2) -> Result:
     rounds = rounds if rounds > 0 else 2
-    ordered = scratch.checkpoint(numbered_neighbors(graph.symmetric().distinct()))
-    sampled = star_contraction(ordered.where(F.col("n") < rounds).select("src", "dst"))
+    links = scratch.checkpoint(graph.symmetric().distinct())
+    sampled = components(first_neighbors(links, rounds).select("src", "dst"))
     labels = scratch.checkpoint(_labels(graph.vertices, sampled))
     most = giant(labels)
     if most is None:
         return Result(labels, rounds + 1)
     own = labels.select(F.col("id").alias("src"), F.col("component").alias("a"))
     other = labels.select(F.col("id").alias("dst"), F.col("component").alias("b"))
-    rest = ordered.where(F.col("n") >= rounds).join(own.where(F.col("a") != most), "src").join(other, "dst").where("a <> b")
-    joined = star_contraction(rest.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    rest = links.join(own.where(F.col("a") != most), "src").join(other, "dst").where("a <> b")
+    joined = components(rest.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     final = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
     return Result(labels.join(final, "component", "left").select("id", F.coalesce("top", "component").alias("component")), rounds + 1)

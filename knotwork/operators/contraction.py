@@ -66,7 +66,9 @@ def star_contraction(edges: DataFrame, cap: int = 64) -> DataFrame:
     for _ in range(cap):
         if not last[0]:
             break
-        state, now = _stored(_small_star(_large_star(state).distinct()).distinct())
+        before = state
+        state, now = _stored(_small_star(_large_star(before).distinct()).distinct())
+        scratch.drop(before)
         if now == last:
             break
         last = now

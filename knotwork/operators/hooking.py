@@ -44,7 +44,10 @@ def hook_shortcut(graph: Graph, cap: int = 200) -> Result:
         roots = edges.select(F.col("src").alias("id")).distinct().withColumn("parent", F.col("id"))
         trees = compress(hook(edges, roots))
         top = trees.select(F.col("id").alias("parent"), F.col("parent").alias("top"))
+        old = parents, edges
         parents = scratch.checkpoint(parents.join(top, "parent", "left").select("id", F.coalesce("top", "parent").alias("parent")))
         a, b = trees.select(F.col("id").alias("src"), F.col("parent").alias("a")), trees.select(F.col("id").alias("dst"), F.col("parent").alias("b"))
         edges = scratch.checkpoint(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        for frame in old:
+            scratch.drop(frame)
     raise NotConverged(f"roots still hooked after {cap} rounds")

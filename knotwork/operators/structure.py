@@ -33,21 +33,25 @@ def neighbors_of(graph: Graph, vertex: int) -> DataFrame:
     return out.unionByName(e.where(F.col("dst") == vertex).select(F.col("src").alias("neighbor")))
 
 
-def numbered_neighbors(symmetric: DataFrame) -> DataFrame:
-    """(src, dst, n): each vertex's neighbours numbered from 0 in ascending order."""
-    return symmetric.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
+def first_neighbors(symmetric: DataFrame, count: int) -> DataFrame:
+    """(src, dst, place): each vertex's ``count`` smallest neighbours, places from 1.  The bound on the
+    place reaches the map side, so that of a hub's neighbours each task sends ``count`` at most."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return symmetric.select("src", "dst", place.alias("place")).where(F.col("place") <= count)
 
 
 def nth_neighbor(graph: Graph, n: int) -> DataFrame:
     """(id, neighbor): the n-th neighbour, from 0, of vertices that have so many."""
-    return numbered_neighbors(graph.symmetric()).where(F.col("n") == n).select(F.col("src").alias("id"), F.col("dst").alias("neighbor"))
+    return first_neighbors(graph.symmetric(), n + 1).where(F.col("place") == n + 1).select(F.col("src").alias("id"), F.col("dst").alias("neighbor"))
 
 
-def csr_row_ptr(graph: Graph, bins: int = 256) -> DataFrame:
+def csr_row_ptr(graph: Graph, bins: int | None = None) -> DataFrame:
     """(id, row_start, degree): where each vertex's run of neighbours starts if all runs are laid out
-    by id.  A running sum in two levels: inside ranges of ids, and over the ranges."""
+    by id.  A running sum in two levels: inside ranges of ids, and over the ranges; as many
+    ranges as leave about 65,536 ids to each, if not given."""
     d = vertex_degree(graph)
     top = graph.vertices.agg(F.max("id")).first()[0] or 0
+    bins = bins or max(16, top >> 16)
     width = top // bins + 1
     binned = d.withColumn("bin", F.floor(F.col("id") / width))
     before = lambda *by: (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy

@@ -9,40 +9,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.contraction import star_contraction
+from knotwork.operators.contraction import components, star_contraction
 from knotwork.plans import forests, scratch
 from knotwork.plans.fixpoint import Result
 from knotwork.plans.graphs import Graph, edges_once
 
-ONE_TASK_ROWS = 20_000_000  # forest edges that a single task may hold; beyond that they are contracted
+ONE_TASK_ROWS = 2_000_000  # forest edges that a single task may hold, 32 MB; beyond that they are contracted
+FAN_IN = 8  # forests that a task merges
 
 
 def _all(vertices: DataFrame, labels: DataFrame) -> DataFrame:
     return vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def partitioned(graph: Graph, partitions: int = 8) -> Result:
-    """Local forests by ranges of vertices, then the boundary between them by star contraction."""
-    local = forests.forest(graph.edges.repartitionByRange(partitions, "src"))
-    return Result(_all(graph.vertices, star_contraction(local)), 1)
+def partitioned(graph: Graph, partitions: int | None = None) -> Result:
+    """Forests of the edges where they lie, then by ranges of vertices (as many as the session shuffles
+    to, if not given), then the boundary between the ranges: in one task if little is left of it,
+    else by star contraction."""
+    local = forests.forest(graph.edges)
+    ranged = local.repartitionByRange(partitions, "src") if partitions else local.repartitionByRange("src")
+    return Result(_all(graph.vertices, components(forests.forest(ranged))), 1)
 
 
-def _merged(edges: DataFrame, partitions: int) -> DataFrame:
-    """Forest of forests: halve the partitions until one task holds the last forest."""
-    state = scratch.checkpoint(forests.forest(edges.repartition(partitions)))
-    while partitions > 1:
+def _merged(edges: DataFrame, partitions: int | None) -> DataFrame:
+    """Forest of forests: edges are reduced where they lie (or in ``partitions``), and ``FAN_IN`` forests
+    become one until a task holds the last."""
+    state = scratch.checkpoint(forests.forest(edges.repartition(partitions) if partitions else edges))
+    left = state.rdd.getNumPartitions()
+    while left > 1:
         if state.count() > ONE_TASK_ROWS:
             return star_contraction(state)
-        partitions = (partitions + 1) // 2
-        state = scratch.checkpoint(forests.forest(state.coalesce(partitions)))
+        left = -(-left // FAN_IN)
+        before, state = state, scratch.checkpoint(forests.forest(state.coalesce(left)))
+        scratch.drop(before)
     roots = state.select(F.col("dst").alias("id")).distinct().withColumn("component", F.col("id"))
     return state.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(roots)
 
 
-def tree_merge(graph: Graph, partitions: int = 8) -> Result:
+def tree_merge(graph: Graph, partitions: int | None = None) -> Result:
     return Result(_all(graph.vertices, _merged(graph.edges, partitions)), 1)
 
 
-def edge_once(graph: Graph, partitions: int = 8) -> Result:
+def edge_once(graph: Graph, partitions: int | None = None) -> Result:
     """Every undirected edge is looked at once, smaller end first; repeats go before the shuffle."""
     return Result(_all(graph.vertices, _merged(edges_once(graph.edges), partitions)), 1)

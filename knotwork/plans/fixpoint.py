@@ -34,11 +34,13 @@ class Result:
 def settle(step: Callable[[DataFrame], DataFrame], state: DataFrame, cap: int = 10_000, keep: bool = False) -> tuple[DataFrame, int]:
     """Apply step until nothing changes.  ``keep`` leaves the column ``changed`` in the state, for
     steps that send only what changed."""
+    before = None
     for n in range(1, cap + 1):
         seen = Observation()
-        state = scratch.checkpoint(step(state).observe(seen, F.sum(F.col("changed").cast("long")).alias("changes")))
-        if not keep:
-            state = state.drop("changed")
+        now = scratch.checkpoint(step(state).observe(seen, F.sum(F.col("changed").cast("long")).alias("changes")))
+        if before is not None:
+            scratch.drop(before)
+        before, state = now, now if keep else now.drop("changed")
         if not seen.get["changes"]:
             return state, n
     raise NotConverged(f"labels still changed after {cap} iterations")

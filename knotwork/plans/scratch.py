@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _LOCAL
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -33,6 +35,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a ``checkpoint`` that a later one has replaced, so that a loop holds two of
+    them at most; nothing is done for other frames."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.getClass().getSimpleName().startswith("LogicalRDD"):
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as compressed Parquet in the shared folder and read it back.
 

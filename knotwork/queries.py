@@ -113,7 +113,9 @@ QUERIES: dict[str, Query] = {
     "union_find_tree_merge": _labelled(lambda g: unionfind.tree_merge(g).labels, "event_chain"),
     "afforest": _labelled(lambda g: afforest.afforest(g).labels, "part_supp"),
     "mtx_scan": _mtx_scan,
+    "giant_sampled": lambda s, d: summaries.sampled_giant(_contracted(s, d, "order_part")),
     "gen_blocks": lambda s, d: generator.gen_blocks(s, graphs.table(s, d, "orders").count(), 50, 4, seed=7).edges,
+    "gen_components": lambda s, d: summaries.component_sizes(unionfind.tree_merge(generator.gen_blocks(s, graphs.table(s, d, "orders").count(), 50, 4, seed=7)).labels),
 }
 
 
@@ -196,4 +198,7 @@ ORACLE_SQL: dict[str, str] = {
     "union_find_tree_merge": _labels_sql("event_chain"),
     "afforest": _labels_sql("part_supp"),
     "mtx_scan": f"WITH {_edges('part_supp')} SELECT a AS src, b AS dst FROM e0",
+    "giant_sampled": _cc("order_part", ", " + summaries.sampled_giant_sql("SELECT node AS id, label AS component FROM cc")),
+    "gen_blocks": generator.gen_blocks_sql("(SELECT count(*) FROM orders)", 50, 4, seed=7),
+    "gen_components": "WITH n AS (SELECT count(*) AS n, count(*) // 50 AS size FROM orders) SELECT block * size AS component, CASE WHEN block = 49 THEN n - 49 * size ELSE size END AS size FROM n, (SELECT unnest(range(0, 50)) AS block)",
 }

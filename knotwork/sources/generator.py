@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions.hashing import below, below_sql
 from knotwork.plans.graphs import Graph, vertex_range
 
 
-def _below(bound: Column, seed: int, *what: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *what), bound)
+def _checked(vertices: int, components: int) -> int:
+    if not 0 < components <= vertices:
+        raise ValueError("components must lie between 1 and the number of vertices")
+    return vertices // components  # vertices of a block
+
+
+def _surplus(vertices: int, components: int, edges_per_vertex: int) -> int:
+    return max(0, vertices * edges_per_vertex // 2 - (vertices - components))
 
 
 def gen_blocks(spark: SparkSession, vertices: int, components: int, edges_per_vertex: int, seed: int = 1) -> Graph:
     """``components`` blocks of ids, the last one with what is left over.  Each is joined by a random
     tree; further edges inside random blocks make up vertices * edges_per_vertex / 2 in all, if
-    the trees alone are fewer.  Edges are drawn independently from hashes, so any partitioning
-    gives the same graph."""
-    if not 0 < components <= vertices:
-        raise ValueError("components must lie between 1 and the number of vertices")
-    size = vertices // components
-    block = lambda v: F.least(F.floor(v / size), F.lit(components - 1))
-    start = lambda v: block(v) * size
-    width = lambda v: F.when(block(v) == components - 1, F.lit(vertices) - start(v)).otherwise(F.lit(size))
-    v = F.col("id")
-    tree = vertex_range(spark, vertices).where(v > start(v)).select(v.alias("src"), (start(v) + _below(v - start(v), seed, v)).alias("dst"))
-    more = max(0, vertices * edges_per_vertex // 2 - (vertices - components))
-    u = F.col("u")
-    other = start(u) + F.pmod(u - start(u) + 1 + _below(F.greatest(width(u) - 1, F.lit(1)), seed + 1, F.col("id")), width(u))
-    drawn = spark.range(more).select("id", _below(F.lit(vertices), seed + 2, F.col("id")).alias("u")).where(width(u) > 1)
-    extra = drawn.select(u.alias("src"), other.alias("dst"))
-    return Graph(vertex_range(spark, vertices), _long(tree).unionByName(_long(extra)))
-
-
-def _long(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    the trees alone are fewer.  Edges are drawn independently from their numbers, so any
+    partitioning gives the same graph."""
+    size = _checked(vertices, components)
+    head, width = (f"least(%s div {size}, {components - 1}) * {size}", f"(CASE WHEN %s div {size} >= {components - 1} THEN {vertices - (components - 1) * size} ELSE {size} END)")
+    tree = vertex_range(spark, vertices).selectExpr("id", f"{head % 'id'} AS head").where("id > head")
+    tree = tree.select(F.col("id").alias("src"), (F.col("head") + below("id", "id - head", seed)).alias("dst"))
+    drawn = spark.range(_surplus(vertices, components, edges_per_vertex)).select("id", below("id", str(vertices), seed + 2).alias("u"))
+    placed = drawn.selectExpr("id", "u", f"{head % 'u'} AS head", f"{width % 'u'} AS width").where("width > 1")
+    extra = placed.select(F.col("u").alias("src"), (F.col("head") + (F.col("u") - F.col("head") + 1 + below("id", "width - 1", seed + 1)) % F.col("width")).alias("dst"))
+    return Graph(vertex_range(spark, vertices), tree.unionByName(extra))
+
+
+def gen_blocks_sql(vertices: str, components: int, edges_per_vertex: int, seed: int = 1) -> str:
+    """The same edges in SQL; ``vertices`` is a scalar subquery."""
+    return f"""WITH n AS (SELECT {vertices} AS n, {vertices} // {components} AS size),
+v AS (SELECT id, least(id // size, {components - 1}) * size AS head FROM n, (SELECT unnest(range(0, {vertices})) AS id)),
+x AS (SELECT i, {below_sql('i', 'n', seed + 2)} AS u, n, size FROM n, (SELECT unnest(range(0, greatest(0, {vertices} * {edges_per_vertex} // 2 - ({vertices} - {components})))) AS i)),
+w AS (SELECT i, u, least(u // size, {components - 1}) * size AS head, CASE WHEN u // size >= {components - 1} THEN n - {components - 1} * size ELSE size END AS width FROM x)
+SELECT id AS src, head + {below_sql('id', 'id - head', seed)} AS dst FROM v WHERE id > head
+UNION ALL SELECT u, head + (u - head + 1 + {below_sql('i', 'width - 1', seed + 1)}) % width FROM w WHERE width > 1"""

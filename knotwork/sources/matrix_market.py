@@ -6,12 +6,13 @@ are read as entries: two 1-based ids and an optional value, which is dropped.  F
 line that is no entry, and an id out of range fail the whole read; surplus lines are ignored.
 The word ``symmetric`` in the first line is reported and changes nothing.
 
-Lines are numbered without collecting them: the lines of each input partition are counted, and
-only those counts, a number a partition, come to the driver.
+Lines are numbered without collecting them: one pass counts each input partition's lines and finds
+the line of dimensions, a second one checks the entries; only a row a partition comes to the driver.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from knotwork.plans.graphs import Graph, vertex_range
 
 
+log = logging.getLogger(__name__)
+
+
 class BadFile(ValueError):
     """The file is no coordinate file."""
 
@@ -43,33 +47,36 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 def scan(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
     """The header and the file's entries as edges (src, dst) from 0, loops and repeats included."""
-    place = F.struct("part", "at", "value")
+    line = F.struct("at", "value")
     content = ~F.col("value").rlike(r"^\s*$") & ~F.startswith("value", F.lit("%"))
     try:
         lines = _numbered(spark, path)
-        head = lines.agg(F.min(place).alias("first"), F.min(F.when(content, place)).alias("dims")).first()
+        parts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(line).alias("first"), F.min(F.when(content, line)).alias("dims")).orderBy("part").collect()  # a row a partition
     except Exception as e:  # Spark reports a missing path when the plan is made or run
         raise BadFile(f"cannot read {path}: {e}") from e
-    if head["dims"] is None:
+    head = next((r for r in parts if r["dims"] is not None), None)
+    if head is None:
         raise BadFile(f"{path}: no line of dimensions")
     numbers = head["dims"]["value"].split()
     try:
         rows, cols, entries = (int(x) for x in numbers[:3])
     except ValueError as e:
         raise BadFile(f"{path}: no three dimensions in {head['dims']['value']!r}") from e
-    header = Header(max(rows, cols), entries, rows == cols, "symmetric" in head["first"]["value"].lower())
+    header = Header(max(rows, cols), entries, rows == cols, "symmetric" in parts[0]["first"]["value"].lower())
     if header.vertices <= 0 or entries < 0:
         raise BadFile(f"{path}: dimensions out of range")
-    part, at = head["dims"]["part"], head["dims"]["at"]
-    after = lines.where((F.col("part") > part) | ((F.col("part") == part) & (F.col("at") > at)))
-    base, total = {}, 0
-    for r in after.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low")).orderBy("part").collect():  # a row a partition
-        base[r["part"]] = total - r["low"]
-        total += r["n"]
+    if not header.square:
+        log.warning("%s: %d rows and %d columns; the graph has %d vertices", path, rows, cols, header.vertices)
+    bases, total = [], 0
+    for r in parts:
+        if r["part"] >= head["part"]:
+            skipped = head["dims"]["at"] + 1 if r["part"] == head["part"] else r["first"]["at"]
+            bases.append((r["part"], total - skipped))
+            total += r["n"] - (skipped - r["first"]["at"])
     if total < entries:
         raise BadFile(f"{path}: {total} entries of {entries}")
-    shift = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map(F.lit(0), F.lit(0))
-    numbered = after.withColumn("nth", F.col("at") + F.element_at(shift, F.col("part"))).where(F.col("nth") < entries)
+    base = spark.createDataFrame(bases, "part long, base long")
+    numbered = lines.join(F.broadcast(base), "part").withColumn("nth", F.col("at") + F.col("base")).where(F.col("nth").between(0, entries - 1))
     ids = [F.expr(f"try_cast(regexp_extract(value, r'{_ENTRY}', {i}) AS BIGINT)") for i in (1, 2)]
     edges = numbered.select((ids[0] - 1).alias("src"), (ids[1] - 1).alias("dst"), "nth")
     ok = F.col("src").between(0, header.vertices - 1) & F.col("dst").between(0, header.vertices - 1)

@@ -36,6 +36,9 @@ SOLVERS = {
     "partitioned": lambda g: unionfind.partitioned(g, 3).labels,
     "edge_once": lambda g: unionfind.edge_once(g, 3).labels,
     "tree_merge": lambda g: unionfind.tree_merge(g, 5).labels,
+    "partitioned_as_given": lambda g: unionfind.partitioned(g).labels,
+    "tree_merge_as_given": lambda g: unionfind.tree_merge(g).labels,
+    "shuffle_as_given": lambda g: propagation.shuffle(g).labels,
     "afforest": lambda g: afforest.afforest(g).labels,
     "afforest1": lambda g: afforest.afforest(g, 1).labels,
 }
@@ -97,6 +100,73 @@ def test_jacobi_sweeps(spark, name, sweeps):
     assert propagation.sync(graph_of(spark, *SHAPES[name])).iterations == sweeps
 
 
+def test_hubs_are_dealt_to_several_parts(spark, monkeypatch):
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 560)] + [(700, i) for i in range(600, 700)]
+    g = graph_of(spark, 701, edges)
+    monkeypatch.setattr(propagation, "HUB", 20)
+    links = propagation._links(g, 20)
+    parts = {r["id"]: r["parts"] for r in links.hubs.collect()}
+    assert set(parts) == {0, 700} and links.edges.where("dst = 0").select("part").distinct().count() > 4
+    sizes = [len(p) for p in links.edges.rdd.glom().collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
+    monkeypatch.setattr(propagation, "_links", lambda graph: links)
+    for solve in ("sync", "full", "frontier", "push_pull"):
+        got = {r["id"]: r["component"] for r in SOLVERS[solve](g).collect()}
+        assert [got[v] for v in range(701)] == labels_of(701, edges)
+
+
+def test_loops_leave_two_checkpoints_at_most(spark):
+    import os
+
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    held = lambda: sum(f.startswith("rdd-") for f in os.listdir(folder))
+    n, edges = SHAPES["path8"]
+    g = graph_of(spark, 60, [(i, i + 1) for i in range(59)])
+    before = held()
+    assert propagation.sync(g).iterations == 60
+    assert held() - before <= 4  # edges, hubs and the last state
+    before = held()
+    star_contraction(spark.createDataFrame([(i, i + 1) for i in range(59)], "src long, dst long").repartition(40)).count()
+    assert held() - before <= 2
+
+
+def test_sampled_giant(spark):
+    labels = spark.range(5000).selectExpr("id", "CASE WHEN id % 10 < 7 THEN 0 ELSE id END AS component")
+    r = summaries.sampled_giant(labels).first()
+    assert r["component"] == 0 and 640 <= r["hits"] <= 800 and r["percent"] == round(r["hits"] / 10.24, 2)
+    assert tuple(summaries.sampled_giant(labels.where("id < 20"), 100).first()) == (0, 14, 70.0)
+    assert summaries.sampled_giant(labels.where("false")).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from knotwork import __main__ as cli
+
+    monkeypatch.setattr(cli, "local_session", lambda cpus: spark)
+    path = str(tmp_path / "g")
+    assert cli.main([path, "--generate", "60", "4", "3", "--seed", "3"]) == 0
+    assert cli.main([path, "afforest", "union_find_partitioned", "label_prop_shuffle", "--rounds", "1", "--partitions", "3", "--labels", str(tmp_path / "out")]) == 0
+    said = capsys.readouterr().out
+    assert said.count("4 components") == 3 + 1 and "DIFFERS" not in said and "edges 90" in said
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    assert cli.main([path, "nothing"]) == 2
+
+
+def test_no_folder_is_made_up_on_a_cluster(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Session())
+
+
 def test_no_edges(spark):
     g = Graph(graphs.vertex_range(spark, 3), spark.createDataFrame([], "src long, dst long"))
     assert propagation.sync(g).iterations == 1
