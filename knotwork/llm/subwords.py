@@ -1,4 +1,4 @@
-"""Hashed sub-word features of letter runs, computed on byte buffers.
+"""Hashed sub-word features of letter runs, computed on byte buffers; n-grams are of whole characters.
 
 A *term* is a maximal run of ASCII letters and of bytes from 0x80 up, A-Z folded; digits,
 punctuation and blanks part terms, so ``Idiot###`` and ``idiot,`` are the same term.
@@ -46,12 +46,21 @@ class Terms:
             starts, ends, hashes = starts[new], ends[new], hashes[new]
             self.first = np.concatenate([[0], np.cumsum(new)])[self.first]
         self.hashes, at, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
-        self.raw, self.starts, self.ends = raw, starts[at], ends[at]
+        starts, ends = starts[at], ends[at]
+        # the distinct terms' characters: n-grams never cut one that takes several bytes
+        heads = np.flatnonzero((raw & 0xC0) != 0x80)
+        self.starts, self.ends = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
+        wide = np.diff(np.append(heads, len(raw)))
+        letter = tokens._LOWER[raw[heads]].astype(np.uint64)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(wide > k)
+            letter[more] |= raw[heads[more] + k].astype(np.uint64) << np.uint64(8 * k)
+        self.letters = letter
 
     def features(self, shortest: int, longest: int, buckets: int, affixes: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(feature ids, first feature of each distinct term): the whole term, its n-grams of
-        ``shortest`` to ``longest`` bytes between end marks, and, marked as such, its first and
-        last 1 to ``affixes`` bytes.  The ids lie below ``buckets``.  Made for some terms at a time,
+        ``shortest`` to ``longest`` characters between end marks, and, marked as such, its first and
+        last 1 to ``affixes`` characters.  The ids lie below ``buckets``.  Made for some terms at a time,
         as the hashes take far more memory than the ids."""
         made = [self._features(a, a + _AT_ONCE, shortest, longest, buckets, affixes) for a in range(0, len(self.starts), _AT_ONCE)]
         if not made:
@@ -67,21 +76,21 @@ class Terms:
         np.cumsum(size, out=first[1:])
         owner = np.repeat(np.arange(n), size)
         inside = np.arange(first[-1]) - first[owner]
-        marked = np.zeros(first[-1], np.uint8)
+        marked = np.zeros(first[-1], np.uint64)
         marked[first[:-1]], marked[first[1:] - 1] = ord("<"), ord(">")
         body = (inside > 0) & (inside < size[owner] - 1)
-        marked[body] = tokens._LOWER[self.raw[(starts[owner] + inside - 1)[body]]]
+        marked[body] = self.letters[(starts[owner] + inside - 1)[body]]
         left = size[owner] - inside
-        byte = tokens._BYTE[marked]
+        char = tokens.mix64((marked + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
         ids, owners = [hashes], [np.arange(n)]
-        gram = byte
+        gram = char
         for k in range(2, longest + 1):
-            gram = tokens.mix64(gram[: len(byte) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + byte[k - 1 :])
+            gram = tokens.mix64(gram[: len(char) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + char[k - 1 :])
             if k >= shortest:
                 fits = left[: len(gram)] >= k
                 ids.append(gram[fits] + np.uint64(k))
                 owners.append(owner[: len(gram)][fits])
-            if 2 <= k <= affixes + 1:  # an end mark and k - 1 bytes
+            if 2 <= k <= affixes + 1:  # an end mark and k - 1 characters
                 for mark, at in ((0xA5, inside == 0), (0x5A, left == k)):
                     at = at[: len(gram)] & (left[: len(gram)] >= k)
                     ids.append(tokens.mix64(gram[at] ^ np.uint64(mark)))

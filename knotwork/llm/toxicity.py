@@ -4,7 +4,8 @@ Every term is a bag of hashed character n-grams, its embedding their mean; the m
 window of terms goes through a linear softmax.  Embeddings and softmax are trained jointly,
 in numpy, on a bounded sample of labelled documents.  A document's label holds for its worst
 window, so training follows the window that scores highest and a document's score is the
-highest of its windows' probabilities; all windows of the whole text count.  A term that
+highest of its windows' probabilities; all windows of the whole text count, each an average of
+``window`` terms (a whole text's average would drown one insult among 20,000 words).  A term that
 only repeats the one before it counts once, so that junk cannot fill a window with one word.  Unseen
 misspellings share n-gram vectors with the terms they come from.
 
@@ -31,11 +32,11 @@ from knotwork.llm.subwords import Terms, mean_by
 class Settings:
     sample: int = 2000  # labelled documents of each class that training uses at most
     longest: int = 200_000  # characters of a training text at most; scoring has no limit
-    window: int = 6  # terms
+    window: int = 3  # terms
     buckets: int = 1 << 17
-    size: int = 8
+    size: int = 16
     shortest_gram: int = 3
-    longest_gram: int = 5
+    longest_gram: int = 6
     least_texts: int = 3  # texts that must hold a feature before it is learnt
     decay: float = 3e-3
     epochs: int = 12
