@@ -5,15 +5,17 @@ role, same text) is rendered once, as the prompt; what each goes on with is its
 Both completions come with their loss spans: the character ranges that the completion's own
 assistant turns (and their end marks) take; everything else in a completion is masked.
 
-A table of plain conversations has no rejected side, so ``opposed`` makes one: the chosen side
-is the conversation up to its last assistant turn, the rejected side the same turns with
-that reply replaced by the reply of another conversation, the next one by id in its bucket.
+A table of plain conversations has no rejected side, so ``opposed`` makes one.  The chosen side is
+the conversation up to its last assistant turn.  The rejected side leaves it at one of its assistant
+turns, drawn by the conversation's id, and goes on as another conversation does, the next one by id
+in its bucket, from that one's first assistant turn to its last.  So sides part after any number of
+turns, and completions hold several turns of either role.
 
 Defined results: rows without conv_id or turn are left out, as no place in a conversation is
-known; repeated rows of one turn are one turn, and of different rows of one turn the one with
+known; what follows a conversation's last assistant turn is left out; repeated rows of one turn are one turn, and of different rows of one turn the one with
 the smallest role and then text counts; null roles are ``user``, null texts empty;
 conversations without an assistant turn make no pair; a conversation that is alone in its
-bucket is opposed by an empty reply; where both sides are equal both completions are empty;
+bucket is opposed by nothing more; where both sides are equal both completions are empty;
 an empty table gives an empty table; further columns are ignored.
 """
 
@@ -47,20 +49,29 @@ def conversations(rows: DataFrame) -> DataFrame:
     return each.select("conv_id", F.transform("all", lambda x: x["t"]).alias("turns"))
 
 
+def _drawn(key: str, salt: str) -> str:
+    """SQL of Spark for a pseudorandom number below 2^48, by the text of ``key``."""
+    return f"CAST(conv(substr(md5(concat('{salt}', CAST({key} AS STRING))), 1, 12), 16, 10) AS BIGINT)"
+
+
+def _places(turns: str, role: str) -> str:
+    """SQL of Spark for the indexes, from 0, of the turns of a role."""
+    return f"filter(transform({turns}, (t, i) -> CASE WHEN t.role = '{role}' THEN i END), i -> i IS NOT NULL)"
+
+
 def opposed(convs: DataFrame, template: Template = Template()) -> DataFrame:
     """(pair_id, chosen, rejected) of conversations(conv_id, turns)."""
-    positions = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == template.trained, i)), lambda i: i.isNotNull())
-    ending = convs.withColumn("n", F.array_max(positions)).where(F.col("n").isNotNull())
-    stored = scratch.table(ending.select("conv_id", F.slice("turns", F.lit(1), F.col("n") + 1).alias("chosen")), "chosen")
+    places = convs.withColumn("at", F.expr(_places("turns", template.trained))).where(F.size("at") > 0)
+    ending = places.select("conv_id", F.slice("turns", F.lit(1), F.array_max("at") + 1).alias("chosen"), "at")
+    leaves = F.expr(f"at[CAST({_drawn('conv_id', 'leaves')} % size(at) AS INT)]")
+    tail = F.slice("chosen", F.array_min("at") + 1, F.size("chosen"))
+    stored = scratch.table(ending.select("conv_id", "chosen", leaves.alias("leaves"), tail.alias("tail")), "chosen")
     buckets = max(1, stored.count() // template.bucket)
-    replies = stored.select("conv_id", F.element_at("chosen", -1)["text"].alias("reply"))
     inside = Window.partitionBy("bucket").orderBy("conv_id")
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dealt = replies.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
-    following = dealt.withColumn("other", F.coalesce(F.lead("reply").over(inside), F.when(F.count(F.lit(1)).over(whole) > 1, F.first("reply").over(whole)), F.lit("")))
-    turn = F.struct(F.lit(template.trained).alias("role"), F.col("other").alias("text"))
-    swapped = F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(turn))
-    return stored.join(following.select("conv_id", "other"), "conv_id").select(F.col("conv_id").alias("pair_id"), "chosen", swapped.alias("rejected"))
+    dealt = stored.withColumn("bucket", F.expr(f"{_drawn('conv_id', 'bucket')} % {buckets}"))
+    other = F.coalesce(F.lead("tail").over(inside), F.when(F.count(F.lit(1)).over(whole) > 1, F.first("tail").over(whole)), F.array().cast(TURNS))
+    return dealt.withColumn("other", other).select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(F.slice("chosen", F.lit(1), F.col("leaves")), "other").alias("rejected"))
 
 
 def _rendered(turn: Column, template: Template) -> Column:
@@ -107,3 +118,27 @@ def formatted(pairs: DataFrame, template: Template = Template()) -> DataFrame:
         _completion(rest("rejected"), template).alias("r"),
     )
     return made.select("pair_id", "common", "prompt", F.col("c.text").alias("chosen"), F.col("c.spans").alias("chosen_spans"), F.col("r.text").alias("rejected"), F.col("r.spans").alias("rejected_spans"))
+
+
+def oracle(template: Template = Template()) -> str:
+    """The query's rows in DuckDB SQL: opposition, longest common prefix, texts and spans."""
+    head, tail = (x.replace("\n", "' || chr(10) || '") for x in template.before.split("{role}"))
+    after = template.after.replace("\n", "' || chr(10) || '")
+    before = f"'{head}' || t.role || '{tail}'"
+    drawn = lambda salt: f"('0x' || substr(md5('{salt}' || conv_id::VARCHAR), 1, 12))::BIGINT"
+    shown = lambda turns: f"array_to_string(list_transform({turns}, lambda t: {before} || t.text || '{after}'), '')"
+    size = lambda t: f"length({before.replace('t.', t + '.')}) + length({t}.text || '{after}')"
+    start = lambda turns: f"(coalesce(list_sum(list_transform({turns}[1:i - 1], lambda u: {size('u')})), 0) + length({before}))::BIGINT"
+    spans = lambda turns: f"array_to_string(list_filter(list_transform({turns}, lambda t, i: CASE WHEN t.role = '{template.trained}' THEN {start(turns)} || ':' || ({start(turns)} + length(t.text || '{after}')) END), lambda s: s IS NOT NULL), ',')"
+    return f"""
+WITH r AS (SELECT conv_id, turn, min(struct_pack(role := coalesce(role, 'user'), text := coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+c AS (SELECT conv_id, list(t ORDER BY turn) AS turns FROM r GROUP BY conv_id),
+p AS (SELECT conv_id, turns, list_filter(list_transform(turns, lambda t, i: CASE WHEN t.role = '{template.trained}' THEN i END), lambda i: i IS NOT NULL) AS spots FROM c),
+e AS MATERIALIZED (SELECT conv_id, turns[1:list_max(spots)] AS chosen, spots[1 + {drawn('leaves')} % len(spots)] - 1 AS leaves, turns[list_min(spots):list_max(spots)] AS tail FROM p WHERE len(spots) > 0),
+d AS (SELECT *, {drawn('bucket')} % greatest(1, (SELECT count(*) FROM e) // {template.bucket}) AS bucket FROM e),
+o AS (SELECT conv_id, chosen, list_concat(chosen[1:leaves], coalesce(lead(tail) OVER w, CASE WHEN count(*) OVER b > 1 THEN first_value(tail) OVER w END, [])) AS rejected
+      FROM d WINDOW w AS (PARTITION BY bucket ORDER BY conv_id), b AS (PARTITION BY bucket)),
+m AS (SELECT *, least(len(chosen), len(rejected)) AS shorter FROM o),
+l AS (SELECT *, coalesce(list_min(list_filter(range(1, shorter + 1), lambda k: chosen[k] <> rejected[k])) - 1, shorter)::BIGINT AS common FROM m),
+f AS (SELECT conv_id, common, chosen[1:common] AS shared, chosen[common + 1:len(chosen)] AS c, rejected[common + 1:len(rejected)] AS j FROM l)
+SELECT conv_id AS pair_id, common, {shown('shared')} AS prompt, {shown('c')} AS chosen, {spans('c')} AS chosen_spans, {shown('j')} AS rejected, {spans('j')} AS rejected_spans FROM f"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import lattice, near_dup, neighbours, queries_map, queries_pairs, queries_scan, repeats, secret_scan
+from knotwork.llm import lattice, near_dup, neighbours, preferences, queries_map, queries_pairs, queries_scan, repeats, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": queries_pairs.op1_repeats,
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_repeats": repeats.oracle(),
+    "op10_preferences": preferences.oracle(),
     "op3_near_dup": near_dup.oracle(2),
     "op4_secret_scan": secret_scan.oracle(),
     "op5_neighbours": neighbours.oracle(),

@@ -267,15 +267,70 @@ CONVERSATIONS = [
 ]
 
 
-def test_preferences(spark):
-    rows = spark.createDataFrame([(*r, "clash") for r in CONVERSATIONS], "conv_id long, turn long, role string, text string, pair_id string").repartition(3)
-    out = {r["pair_id"]: r for r in preferences.formatted(preferences.opposed(preferences.conversations(rows))).collect()}
-    assert sorted(out) == [1, 2, 4, 5]
-    two = out[2]
-    assert two["common"] == 4 and two["prompt"] == "<|system|>\nbe kind<|end|>\n<|user|>\n<|end|>\n<|assistant|>\nfirst<|end|>\n<|user|>\ngo on<|end|>\n"
-    assert two["chosen"] == "<|assistant|>\nsecond 😀<|end|>\n"
-    assert [two["chosen"][a:b] for a, b in two["chosen_spans"]] == ["second 😀<|end|>\n"]
-    assert two["rejected"] == "<|assistant|>\nyes<|end|>\n"
+def opposed(rows, template=preferences.Template()):
+    """{pair: (chosen, rejected)} in plain Python."""
+    convs = defaultdict(dict)
+    for c, n, role, text in rows:
+        if c is not None and n is not None:
+            turn = (role or "user", text or "")
+            convs[c][n] = min(convs[c].get(n, turn), turn)
+    ends, tails, leaves = {}, {}, {}
+    draw = lambda c, salt: int(hashlib.md5(f"{salt}{c}".encode()).hexdigest()[:12], 16)
+    for c, turns in convs.items():
+        turns = [turns[n] for n in sorted(turns)]
+        at = [i for i, t in enumerate(turns) if t[0] == template.trained]
+        if at:
+            ends[c], tails[c] = turns[: at[-1] + 1], turns[at[0] : at[-1] + 1]
+            leaves[c] = at[draw(c, "leaves") % len(at)]
+    buckets = defaultdict(list)
+    for c in sorted(ends):
+        buckets[draw(c, "bucket") % max(1, len(ends) // template.bucket)].append(c)
+    out = {}
+    for own in buckets.values():
+        for i, c in enumerate(own):
+            out[c] = ends[c], ends[c][: leaves[c]] + (tails[own[(i + 1) % len(own)]] if len(own) > 1 else [])
+    return out
+
+
+def rendered(turns):
+    """(text, spans of the assistant turns)"""
+    text, spans = "", []
+    for role, t in turns:
+        text += f"<|{role}|>\n"
+        if role == "assistant":
+            spans.append((len(text), len(text) + len(t) + 8))
+        text += f"{t}<|end|>\n"
+    return text, spans
+
+
+def common(c, j):
+    n = 0
+    while n < min(len(c), len(j)) and c[n] == j[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_preferences(spark, bucket):
+    rng = random.Random(bucket)
+    rows = list(CONVERSATIONS)
+    for c in range(10, 60):  # openings that conversations share, several turns of either role, one very long text and conversation
+        n = 300 if c == 30 else rng.randrange(1, 8)
+        rows += [(c, i, rng.choice(["user", "assistant"]) if i else "system", rng.choice(["a", "b", "c"]) if c != 20 else "é" * 50_000) for i in range(n)]
+    template = preferences.Template(bucket=bucket)
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, pair_id string").repartition(3)
+    out = {r["pair_id"]: r for r in preferences.formatted(preferences.opposed(preferences.conversations(frame), template), template).collect()}
+    want = opposed(rows, template)
+    assert out.keys() == want.keys() and not {3, 6, None} & out.keys()
+    lengths = Counter()
+    for p, (c, j) in want.items():
+        r, n = out[p], common(c, j)
+        assert (r["common"], r["prompt"]) == (n, rendered(c[:n])[0])
+        assert (r["chosen"], [tuple(x) for x in r["chosen_spans"]]) == rendered(c[n:])
+        assert (r["rejected"], [tuple(x) for x in r["rejected_spans"]]) == rendered(j[n:])
+        lengths[n] += 1
+        assert all(r["chosen"][a:b].endswith("<|end|>\n") for a, b in r["chosen_spans"])
+    assert len(lengths) > 4 and max(len(r["chosen_spans"]) for r in out.values()) > 2
 
 
 def test_preferences_find_the_longest_common_prefix(spark):
