@@ -134,7 +134,7 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
             at += size
     weight, seen = np.zeros((s.buckets, k)), np.full((s.buckets, k), 1e-6)
     trans, trans_seen = np.zeros((k, k)), np.full((k, k), 1e-6)
-    start = np.zeros(k)
+    start, start_seen = np.zeros(k), np.full(k, 1e-6)
     alive = np.ones((128, s.length), dtype=bool)
     for _ in range(s.epochs):
         order = rng.permutation(s.sequences)
@@ -163,6 +163,9 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
                 g = np.add.reduceat(per_kind[:, c : c + _WIDE][owner], new, axis=0) + 1e-6 * w[touched]
                 past[touched] += g**2
                 w[touched] -= s.rate * g / np.sqrt(past[touched])
+            g_start = gap[:, 0].sum(0) / len(rows) + 1e-3 * start
+            start_seen += g_start**2
+            start -= 0.1 * g_start / np.sqrt(start_seen)
             trans_seen += g_trans**2
             trans -= 0.1 * g_trans / np.sqrt(trans_seen)
     return Model(names, weight.astype(np.float32), trans, start, s)
@@ -186,11 +189,16 @@ def posteriors(model: Model, emission: np.ndarray, first: np.ndarray) -> np.ndar
     width = int(length.max())
     alive = np.searchsorted(-length[by], -np.arange(width), side="left")
     origin = begin[by]
-    # what a run does to a message from its left: transition, then emission, position by position
+    # what a run does to a message from its left: transition, then emission, position by position; a
+    # chain's first position has no transition, and its message is the start
     matrix = np.broadcast_to(np.eye(k), (len(by), k, k)).copy()
+    opens = nth[by] == 0
     for i in range(width):
         m = alive[i]
-        step = (matrix[:m].reshape(-1, k) @ trans).reshape(m, k, k) * e[origin[:m] + i][:, None, :]
+        step = (matrix[:m].reshape(-1, k) @ trans).reshape(m, k, k)
+        if i == 0:
+            step[opens[:m]] = matrix[:m][opens[:m]]
+        step *= e[origin[:m] + i][:, None, :]
         matrix[:m] = step / step.sum((1, 2), keepdims=True)
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
@@ -199,7 +207,7 @@ def posteriors(model: Model, emission: np.ndarray, first: np.ndarray) -> np.ndar
     left, right = np.empty((len(chain), k)), np.ones((len(chain), k))
     most = int(runs.max())
     live = np.flatnonzero(runs > 0)
-    message = np.broadcast_to(np.linalg.solve(trans.T, start), (len(live), k)).copy()  # times the transition: the start
+    message = np.broadcast_to(start, (len(live), k)).copy()
     for j in range(most):
         keep = runs[live] > j
         live, message = live[keep], message[keep]
@@ -221,7 +229,10 @@ def posteriors(model: Model, emission: np.ndarray, first: np.ndarray) -> np.ndar
     a = left[by]
     for i in range(width):
         m = alive[i]
-        step = (a[:m] @ trans) * e[origin[:m] + i]
+        step = a[:m] @ trans
+        if i == 0:
+            step[opens[:m]] = a[:m][opens[:m]]
+        step *= e[origin[:m] + i]
         a[:m] = step / step.sum(1, keepdims=True)
         forward[origin[:m] + i] = a[:m]
     b = right[by]

@@ -1,6 +1,8 @@
 """Scores and pieces: held-out accuracy, exactness against the model's own library, odd input."""
 
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 
 from knotwork.llm import language_id, pieces, sampling, toxicity
 
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 CLEAN = ["the tree stands by the river", "der Baum steht am Fluss", "we walk home", "sie gehen nach Hause und schlafen"]
 
 
@@ -106,6 +109,87 @@ def test_long_texts_are_solved_exactly(model):
     assert rng
 
 
+def enumerated(e, trans, start):
+    """(posteriors, expected transitions, log of the sum) over all paths, one by one."""
+    t, k = e.shape
+    post, moved, whole = np.zeros((t, k)), np.zeros((k, k)), 0.0
+    for path in itertools.product(range(k), repeat=t):
+        p = np.exp(start[path[0]] + sum(e[i, s] for i, s in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+        whole += p
+        for i, s in enumerate(path):
+            post[i, s] += p
+        for a, b in zip(path, path[1:]):
+            moved[a, b] += p
+    return post / whole, moved / whole, np.log(whole)
+
+
+def test_forward_backward_equals_all_paths():
+    rng = np.random.default_rng(11)
+    for t, k in ((1, 3), (2, 2), (5, 3), (4, 4)):
+        e, trans, start = rng.normal(size=(t, k)) * 2, rng.normal(size=(k, k)), rng.normal(size=k)
+        post, moved, whole = enumerated(e, trans, start)
+        got, steps = language_id._messages(np.exp(e)[None], np.exp(trans), np.exp(start), np.ones((1, t), bool))
+        assert np.allclose(got[0], post) and np.allclose(steps, moved)
+        m = language_id.Model([str(i) for i in range(k)], np.zeros((1, k)), trans, start, language_id.Settings(run=2))
+        assert np.allclose(language_id.posteriors(m, e, np.array([0, t])), post)
+        # what training descends by is the gradient of the log-likelihood: by differences
+        for what, slope in ((e, post), (trans, moved), (start, post[0])):
+            for at in itertools.product(*map(range, what.shape)):
+                what[at] += 1e-5
+                up = enumerated(e, trans, start)[2]
+                what[at] -= 2e-5
+                down = enumerated(e, trans, start)[2]
+                what[at] += 1e-5
+                assert abs((up - down) / 2e-5 - slope[at]) < 1e-5
+
+
+def test_ties_go_to_the_language_that_sorts_first():
+    flat = language_id.Model(["aa", "bb", "cc"], np.zeros((1024, 3), np.float32), np.zeros((3, 3)), np.zeros(3), language_id.Settings(buckets=1024))
+    names, score = language_id.predict(flat, pa.array(["any words at all", "x"]))
+    assert names == ["aa", "aa"] and np.allclose(score, 1 / 3)
+
+
+def test_start_potentials_are_learned(model):
+    assert np.abs(model.start).max() > 0
+
+
+def test_n_grams_are_of_whole_characters():
+    terms = language_id.Terms(pa.array(["größer ÄÖ 日本語"]))
+    assert (terms.ends - terms.starts).tolist() and sorted((terms.ends - terms.starts).tolist()) == [2, 3, 6]
+    ids, first = terms.features(2, 3, 1 << 30)
+    assert sorted(np.diff(first).tolist()) == sorted(1 + (n + 1) + n for n in (2, 3, 6))  # the term, and its n-grams between end marks
+    one, two = (set(language_id.Terms(pa.array([w])).features(3, 3, 1 << 30)[0].tolist()) for w in ("größe", "xröße"))
+    assert len(one & two) == 3  # röß, öße, ße>
+
+
+def plain_score(model, text):
+    """The toxicity of a text, term by term and window by window."""
+    s = model.settings
+    if not (found := re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text or "")):
+        return 0.0
+    weights = []
+    for word, past in zip(found, [None, *found]):
+        if past is None or word.translate(FOLD) != past.translate(FOLD):
+            ids, _ = toxicity.Terms(pa.array([word])).features(s.shortest_gram, s.longest_gram, s.buckets)
+            weights.append(float(np.mean([model.feature[i] for i in ids])))
+    n = min(s.window, len(weights))
+    best = max(sum(weights[i : i + n]) / n for i in range(len(weights) - n + 1))
+    return 1 / (1 + np.exp(-(best + model.bias)))
+
+
+def test_toxicity_equals_a_plain_scorer():
+    model = toxicity.fit(*labelled(300, 6))
+    texts = [*labelled(40, 7)[0], "Idiot idiot IDIOT", "a", "1 2", "", None, " ".join(CLEAN * 1500) + " you idiots", "x" * 30_000, "größer 日本 scum"]
+    got = toxicity.predict(model, pa.array(texts))
+    assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-6)
+    assert got[-3] > 0.3  # the last of 20,000 words
+
+
+def test_toxicity_of_misspelt_words():
+    model = toxicity.fit(*labelled(800, 1))
+    assert (toxicity.predict(model, pa.array(["such an idiiot", "you moronn", "scumm of them", "idiotas"])) > 0.3).sum() >= 3
+
+
 def test_transitions_are_learned(model):
     assert (np.diag(model.transition) > model.transition.max(1) - 1e-9).all()
 
