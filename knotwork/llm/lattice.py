@@ -108,7 +108,7 @@ def cells(unit: np.ndarray, s: Settings) -> np.ndarray:
         lean = np.zeros((n, len(ROOTS)))
         for d in range(8):
             lean += gap[:, d, None] * ROOTS[:, d]
-        towards = np.argsort(-lean, axis=1, kind="stable")[:, : s.probes]
+        towards = np.argpartition(-lean, s.probes, axis=1)[:, : s.probes]
         out[:, t, 0] = _name(home, t)
         for p in range(s.probes):
             out[:, t, 1 + p] = _name(home + ROOTS[towards[:, p]], t)
@@ -167,8 +167,7 @@ def _block(batch: pa.RecordBatch, size: int, s: Settings):
         hosts = a + np.flatnonzero(home[a:b])
         if b - a < 2 or not len(hosts):
             continue
-        count: dict[int, np.ndarray] = {}
-        src, dst = [], []
+        src, dst, where = [], [], None
         links = np.zeros(b - a, np.int64)
         for lo in range(0, len(hosts), 256):
             mine = hosts[lo : lo + 256]
@@ -182,14 +181,11 @@ def _block(batch: pa.RecordBatch, size: int, s: Settings):
                 continue
             keep = np.einsum("nd,nd->n", unit[i], unit[j]) >= s.cosine
             i, j = i[keep], j[keep]
-            who, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-            if not len(who):
-                continue
-            where = cells(unit[who], s)
+            if where is None and len(i):
+                where = cells(unit[a:b], s)
             for c in range(0, len(i), 1 << 14):
-                bi, bj = back[: len(i)][c : c + (1 << 14)], back[len(i) :][c : c + (1 << 14)]
                 pi, pj = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
-                here = _first_here(where[bi], where[bj], member[pi], member[pj], int(table[a]))
+                here = _first_here(where[pi - a], where[pj - a], member[pi], member[pj], int(table[a]))
                 pi, pj = pi[here], pj[here]
                 np.add.at(links, pi - a, weight[pj])
                 np.add.at(links, pj - a, weight[pi])
