@@ -41,6 +41,7 @@ class Settings:
     decay: float = 3e-3
     epochs: int = 12
     rate: float = 0.4
+    unknown: float = -3.0  # log odds of a window without a known feature
     seed: int = 17
 
 
@@ -84,9 +85,9 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     rng = np.random.default_rng(s.seed)
     embed = rng.normal(0, 0.1, (s.buckets, s.size)).astype(np.float32)
     soft = rng.normal(0, 0.5, (s.size, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
+    bias = np.array([0.0, s.unknown], np.float32)  # held: a window of which nothing is known is clean
     seen = np.full(s.buckets, 1e-3, np.float32)
-    soft_seen, bias_seen = np.full_like(soft, 1e-3), np.full_like(bias, 1e-3)
+    soft_seen = np.full_like(soft, 1e-3)
     ids, first = terms.features(s.shortest_gram, s.longest_gram, s.buckets)
     # a feature of few texts says nothing of others: it stays at the mean of all, zero
     pairs = np.unique(terms.kind.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), np.diff(terms.first))) // max(len(texts), 1)
@@ -124,7 +125,7 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), truth[rows]] -= 1
-            g_soft, g_bias = mean.T @ p / len(rows), p.mean(0)
+            g_soft = mean.T @ p / len(rows)
             g_mean = (p @ soft.T) / size[:, None]
             by_kind = np.argsort(inverse, kind="stable")
             per_kind = np.add.reduceat(np.repeat(g_mean, size, axis=0).astype(np.float32)[by_kind], np.searchsorted(inverse[by_kind], np.arange(len(kinds))), axis=0)
@@ -138,10 +139,8 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
             seen[touched] += (g_embed**2).mean(1)
             embed[touched] -= s.rate * (g_embed / np.sqrt(seen[touched])[:, None] + s.decay * embed[touched])
             soft_seen += g_soft**2
-            bias_seen += g_bias**2
             soft -= 0.1 * g_soft / np.sqrt(soft_seen)
-            bias -= 0.1 * g_bias / np.sqrt(bias_seen)
-    return Model(embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), s)
+    return Model(embed @ (soft[:, 1] - soft[:, 0]), s.unknown, s)
 
 
 def predict(model: Model, column: pa.Array) -> np.ndarray:
