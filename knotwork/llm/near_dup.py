@@ -435,10 +435,11 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id, of several such (or
     where no row of the group has an id) the one with the smallest text hash.  Of rows that repeat
-    doc_id and text one stays.  All columns stay; texts are not shuffled unless too many go."""
+    doc_id and text one stays; rows without words all do.  All columns stay; texts are not shuffled
+    unless too many go."""
     before = scratch.written()
     key = F.xxhash64(F.col("doc_id").cast("long"), _text_hash())
-    rows = placed(docs, settings)
+    rows = placed(docs, settings).where("n > 0")
     chosen = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("c"))
     votes = rows.select(F.xxhash64("doc_id", "th").alias("__key"), F.lit(1).alias("n"), F.lit(False).alias("stays")).unionByName(
         chosen.select(F.xxhash64("c.doc_id", "c.th").alias("__key"), F.lit(0).alias("n"), F.lit(True).alias("stays"))
