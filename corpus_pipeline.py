@@ -4,6 +4,15 @@ Each stage calls one operator on all rows that the stage before it kept, and its
 effect: toxic documents go, one document of each near-duplicate group stays, secrets are
 masked, sources are brought to their target weights, and the texts become piece ids.  Clean
 documents pass the filtering stages unchanged.
+
+Defined results, by stage: null and empty texts score 0.0 and are not toxic; they are no
+near-duplicates of anything and all stay; they hold no secret; the mix takes no words of them, so
+they have no row after it.  Null ids, sources and languages are values like any other (a null
+source is one source, last in order).  Repeated rows are scored alike, one of them stays (of
+empty texts all do, up to the mix).  Of a group the smallest doc_id stays, null last, then the
+smallest text hash.  Texts of any length are used whole.  Columns beyond those of documents pass
+all stages but the last, whatever their names.  Without labels nothing is toxic; an empty table
+gives an empty table with the same columns.
 """
 
 from __future__ import annotations
