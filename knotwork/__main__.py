@@ -70,7 +70,7 @@ def main(args: list[str]) -> int:
         same = first is None or summaries.same_partition(first, result.labels)
         first = result.labels if first is None else first
         status |= not same
-        print(f"{name}: {count} components, {result.iterations} iterations, {took:.2f} s{'' if same else ' DIFFERS'}")
+        print(f"{name}: {count} components, {result.iterations} iterations, {took:.2f} s{''.join(f', {k} {v:.2f} s' for k, v in result.seconds.items())}{'' if same else ' DIFFERS'}")
     print(sinks.component_report(first))
     sample = summaries.sampled_giant(first).first()
     print(f"most frequent label of a sample: {sample['component']}, {sample['percent']:.1f} % of it")

@@ -8,7 +8,7 @@ Only that count reaches the driver.  Hitting the cap is an error, never a silent
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -22,10 +22,12 @@ class NotConverged(RuntimeError):
 
 @dataclass
 class Result:
-    """labels(id, component) and the number of iterations, the last, unchanged one included."""
+    """labels(id, component) and the number of iterations, the last, unchanged one included; ``seconds``
+    says for solvers with several phases how long each took."""
 
     labels: DataFrame
     iterations: int
+    seconds: dict[str, float] = field(default_factory=dict)
 
     def component_count(self) -> int:
         return self.labels.agg(F.count_distinct("component")).first()[0]

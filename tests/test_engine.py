@@ -1,6 +1,7 @@
 """Every algorithm against a plain union-find, golden values, invariants and bad input."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([path, "--generate", "60", "4", "3", "--seed", "3"]) == 0
     assert cli.main([path, "afforest", "union_find_partitioned", "label_prop_shuffle", "--rounds", "1", "--partitions", "3", "--labels", str(tmp_path / "out")]) == 0
     said = capsys.readouterr().out
+    assert re.search("union_find_partitioned: 4 components.* local [0-9.]+ s, exchange [0-9.]+ s", said)
     assert said.count("4 components") == 3 + 1 and "DIFFERS" not in said and "edges 90" in said
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
     assert cli.main([path, "nothing"]) == 2
