@@ -44,7 +44,8 @@ class Settings:
     nearest: int = 10
     trees: int = 2
     leaf: int = 32  # rows that a leaf should hold at least
-    sample: int = 32768  # rows that the trees are fitted on at most
+    sample: int = 32768  # rows that the trees are fitted on at most,
+    numbers: int = 1 << 23  # and components of theirs in all (64 MB)
     fitted: int = 16  # rows of the sample that a leaf holds at least
     directions: int = 32  # random directions that a node tries
     visits: float = 0.9  # rows in the leaves that a query takes, over all trees, as a multiple of all rows
@@ -201,7 +202,7 @@ def search(frame: DataFrame, wanted, settings: Settings = Settings(), column: st
     size, numbers = vectors.common_size(frame, column), vectors.kind(frame, column)
     usable = scratch.table(vectors.stored(frame, size, column).where("ok").dropDuplicates(["vec_id", "h1", "h2"]).select("row", "vec_id", "vec"), "usable")
     rows = usable.count()
-    picked = usable.orderBy(F.xxhash64("row"), "row").limit(s.sample).select("vec").toArrow().column(0).combine_chunks()  # sample rows at most
+    picked = usable.orderBy(F.xxhash64("row"), "row").limit(max(s.fitted, min(s.sample, s.numbers // size))).select("vec").toArrow().column(0).combine_chunks()  # sample rows at most
     forest = fit(vectors.matrix(picked, size), rows, s)
     trees, leaves = s.trees, 1 << forest.depth
     shared = frame.sparkSession.sparkContext.broadcast(forest)  # trees x 2^depth planes

@@ -46,10 +46,12 @@ class Terms:
             starts, ends, hashes = starts[new], ends[new], hashes[new]
             self.first = np.concatenate([[0], np.cumsum(new)])[self.first]
         self.hashes, at, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
-        starts, ends = starts[at], ends[at]
         # the distinct terms' characters: n-grams never cut one that takes several bytes
+        size = ends[at] - starts[at]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        raw = raw[np.repeat(starts[at] - edges[:-1], size) + np.arange(edges[-1])]
         heads = np.flatnonzero((raw & 0xC0) != 0x80)
-        self.starts, self.ends = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
+        self.starts, self.ends = np.searchsorted(heads, edges[:-1]), np.searchsorted(heads, edges[1:])
         wide = np.diff(np.append(heads, len(raw)))
         letter = tokens._LOWER[raw[heads]].astype(np.uint64)
         for k in (1, 2, 3):
