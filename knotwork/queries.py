@@ -17,7 +17,7 @@ from knotwork.operators import afforest, hooking, partitioning, propagation, str
 from knotwork.operators.contraction import star_contraction
 from knotwork.plans import graphs, scratch
 from knotwork.plans.graphs import Graph
-from knotwork.sources import generator, matrix_market
+from knotwork.sources import generator, matrix_market, sinks
 
 BLOCKS = 4
 NEIGHBOR = 1  # from 0: the second neighbour
@@ -67,10 +67,20 @@ def _pointer_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mtx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part_supp written as a coordinate file and scanned again."""
+    """part_supp written as a coordinate file, with comments, and scanned again."""
     path = f"{scratch.shared_folder(spark)}/knotwork-{uuid.uuid4().hex}/graph.mtx"
-    matrix_market.write(Graph(None, graphs.fixture(spark, sf_dir, "part_supp")), _span(spark, sf_dir), path)
-    return matrix_market.scan(spark, path)[1]
+    matrix_market.write(Graph(None, graphs.fixture(spark, sf_dir, "part_supp")), _span(spark, sf_dir), path, ("parts and suppliers", "", "1 2 is no entry here"))
+    header, edges = matrix_market.scan(spark, path)
+    if not header.symmetric:
+        raise matrix_market.BadFile(f"{path}: written as symmetric")
+    return edges
+
+
+def _labels_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of part_pair written as Parquet and read again."""
+    path = f"{scratch.shared_folder(spark)}/knotwork-{uuid.uuid4().hex}/labels"
+    sinks.write_labels(_contracted(spark, sf_dir, "part_pair"), path)
+    return spark.read.parquet(path)
 
 
 def _ghost_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "union_find_tree_merge": _labelled(lambda g: unionfind.tree_merge(g).labels, "event_chain"),
     "afforest": _labelled(lambda g: afforest.afforest(g).labels, "part_supp"),
     "mtx_scan": _mtx_scan,
+    "labels_sink": _labels_sink,
     "giant_sampled": lambda s, d: summaries.sampled_giant(_contracted(s, d, "order_part")),
     "gen_blocks": lambda s, d: generator.gen_blocks(s, graphs.table(s, d, "orders").count(), 50, 4, seed=7).edges,
     "gen_components": lambda s, d: summaries.component_sizes(unionfind.tree_merge(generator.gen_blocks(s, graphs.table(s, d, "orders").count(), 50, 4, seed=7)).labels),
@@ -198,6 +209,7 @@ ORACLE_SQL: dict[str, str] = {
     "union_find_tree_merge": _labels_sql("event_chain"),
     "afforest": _labels_sql("part_supp"),
     "mtx_scan": f"WITH {_edges('part_supp')} SELECT a AS src, b AS dst FROM e0",
+    "labels_sink": _labels_sql("part_pair"),
     "giant_sampled": _cc("order_part", ", " + summaries.sampled_giant_sql("SELECT node AS id, label AS component FROM cc")),
     "gen_blocks": generator.gen_blocks_sql("(SELECT count(*) FROM orders)", 50, 4, seed=7),
     "gen_components": "WITH n AS (SELECT count(*) AS n, count(*) // 50 AS size FROM orders) SELECT block * size AS component, CASE WHEN block = 49 THEN n - 49 * size ELSE size END AS size FROM n, (SELECT unnest(range(0, 50)) AS block)",

@@ -92,10 +92,11 @@ def read(spark: SparkSession, path: str) -> Graph:
     return Graph(vertex_range(spark, header.vertices), edges.where("src <> dst"))
 
 
-def write(graph: Graph, vertices: int, path: str) -> None:
+def write(graph: Graph, vertices: int, path: str, comments: tuple[str, ...] = ()) -> None:
     """Write edges as one coordinate file (a single task writes it, as the format is one file)."""
     edges = graph.edges
     count = edges.count()
-    head = edges.sparkSession.createDataFrame([(0, "%%MatrixMarket matrix coordinate pattern symmetric"), (1, f"{vertices} {vertices} {count}")], "o int, value string")
-    body = edges.select(F.lit(2).alias("o"), F.concat_ws(" ", (F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string")).alias("value"))
+    lines = ["%%MatrixMarket matrix coordinate pattern symmetric", *[f"% {c}" for c in comments], f"{vertices} {vertices} {count}"]
+    head = edges.sparkSession.createDataFrame(list(enumerate(lines)), "o int, value string")
+    body = edges.select(F.lit(len(lines)).alias("o"), F.concat_ws(" ", (F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string")).alias("value"))
     head.unionByName(body).repartition(1).sortWithinPartitions("o").select("value").write.text(path)
