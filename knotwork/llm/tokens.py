@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 _PIECE = 512  # bytes of a long span that are hashed together
+_AT_ONCE = 1 << 17  # spans that are hashed together: bounds the temporary arrays
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -75,7 +76,10 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
     invertible mixer, so that spans of up to eight bytes and one length never collide and others do
     with a chance of about 2^-64.  Of spans over ``_PIECE`` bytes the pieces are hashed, and then
     their hashes in the same way, which takes few rounds however long a span is."""
-    return _rounds(eights(_LOWER[raw] if fold else raw), np.asarray(starts), np.asarray(ends), np.uint64(seed))
+    words, out = eights(_LOWER[raw] if fold else raw), np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), _AT_ONCE):
+        out[i : i + _AT_ONCE] = _rounds(words, starts[i : i + _AT_ONCE], ends[i : i + _AT_ONCE], np.uint64(seed))
+    return out
 
 
 def _rounds(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64) -> np.ndarray:

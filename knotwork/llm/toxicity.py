@@ -91,7 +91,10 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     ids, first = terms.features(s.shortest_gram, s.longest_gram, s.buckets)
     # a feature of few texts says nothing of others: it stays at the mean of all, zero
     pairs = np.unique(terms.kind.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), np.diff(terms.first))) // max(len(texts), 1)
-    spread = np.bincount(ids, weights=np.repeat(np.bincount(pairs, minlength=len(first) - 1), np.diff(first)), minlength=s.buckets)
+    held, spread = np.bincount(pairs, minlength=len(first) - 1), np.zeros(s.buckets)
+    for i in range(0, len(held), 1 << 15):
+        j = min(i + (1 << 15), len(held))
+        spread += np.bincount(ids[first[i] : first[j]], weights=np.repeat(held[i:j], np.diff(first[i : j + 1])), minlength=s.buckets)
     known = spread >= s.least_texts
     embed[~known] = 0
     count = np.diff(first)
