@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,12 @@ def _name(points: np.ndarray, table: int) -> np.ndarray:
     return tokens.mix64((whole * factor).sum(-1, dtype=np.uint64) + np.uint64(table + 1)).view(np.int64)
 
 
+@lru_cache(maxsize=64)
+def _projection(size: int, table: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([s.seed, table])
+    return rng.normal(size=(size, 8)) * s.scale, rng.random(8)
+
+
 def cells(unit: np.ndarray, s: Settings) -> np.ndarray:
     """(rows, tables, 1 + probes) names of each vector's home cell and the cells that it probes.
 
@@ -98,8 +105,7 @@ def cells(unit: np.ndarray, s: Settings) -> np.ndarray:
     n, size = unit.shape
     out = np.empty((n, s.tables, 1 + s.probes), np.int64)
     for t in range(s.tables):
-        rng = np.random.default_rng([s.seed, t])
-        plane, shift = rng.normal(size=(size, 8)) * s.scale, rng.random(8)
+        plane, shift = _projection(size, t, s)
         x = np.broadcast_to(shift, (n, 8)).copy()
         for d in range(size):
             x += unit[:, d, None] * plane[d]
@@ -163,11 +169,13 @@ def _block(batch: pa.RecordBatch, size: int, s: Settings):
     """(src, dst, n): links of each member (src = dst) and edges of a spanning forest (n = 0)."""
     key, cross, heap, table, home, member, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
     unit = _unit(vectors.matrix(batch.column(7), size))
+    _, one, each = np.unique(member, return_index=True, return_inverse=True)  # a vector lies in many blocks
+    where = cells(unit[one], s)[each]
     for a, b in vectors.runs(key):
         hosts = a + np.flatnonzero(home[a:b])
         if b - a < 2 or not len(hosts):
             continue
-        src, dst, where = [], [], None
+        src, dst = [], []
         links = np.zeros(b - a, np.int64)
         for lo in range(0, len(hosts), 256):
             mine = hosts[lo : lo + 256]
@@ -181,11 +189,9 @@ def _block(batch: pa.RecordBatch, size: int, s: Settings):
                 continue
             keep = np.einsum("nd,nd->n", unit[i], unit[j]) >= s.cosine
             i, j = i[keep], j[keep]
-            if where is None and len(i):
-                where = cells(unit[a:b], s)
             for c in range(0, len(i), 1 << 14):
                 pi, pj = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
-                here = _first_here(where[pi - a], where[pj - a], member[pi], member[pj], int(table[a]))
+                here = _first_here(where[pi], where[pj], member[pi], member[pj], int(table[a]))
                 pi, pj = pi[here], pj[here]
                 np.add.at(links, pi - a, weight[pj])
                 np.add.at(links, pj - a, weight[pi])
