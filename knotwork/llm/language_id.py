@@ -330,7 +330,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     base = docs.drop("lang_pred", "score").withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x languages numbers
     out = base.drop("__letters")
-    size = max(1 << 16, (4 << 20) * _WIDE // max(_WIDE, len(model.languages)))
+    size = max(1 << 16, (1 << 20) * _WIDE // max(_WIDE, len(model.languages)))
     schema = out.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def run(stream):

@@ -143,7 +143,7 @@ def chain(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def batches(batch: pa.RecordBatch, column: str, size: int = 8 << 20):
+def batches(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
     """Slices of a batch whose texts come to about ``size`` bytes (one text at least)."""
     if not batch.num_rows:
         return
