@@ -365,32 +365,25 @@ def decode(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
     return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str, vocabulary: Vocabulary) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(vocabulary)
-    return _encoders[path]
-
-
 def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", verify: str | None = None) -> DataFrame:
     """docs with one more column, the piece ids of ``text`` (array of int); with ``verify`` another
     one of that name, whether decoding them gives the text back (null for null texts)."""
     base = docs.drop(column, *([verify] if verify else []))
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))  # the model: bounded by its file
+    # the model: bounded by its file.  A worker fills its copy of the encoder from task to task, and
+    # Spark takes it away with the broadcast before the first task of something else
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(load(path)))
     added = [T.StructField(column, T.ArrayType(T.IntegerType()))] + ([T.StructField(verify, T.BooleanType())] if verify else [])
     schema = T.StructType([*base.schema.fields, *added])
 
     def run(stream):
-        encoder = _encoder(path, shared.value)
+        encoder = shared.value
         for batch in stream:
             for part in tokens.batches(batch, "text", 2 << 20):
                 texts = part.column(part.schema.get_field_index("text"))
                 ids, bounds = encoder.encode(texts)
                 same = []
                 if verify:
-                    back = pa.array(decode(shared.value, ids, bounds), pa.string())
+                    back = pa.array(decode(encoder.v, ids, bounds), pa.string())
                     same = [pc.equal(back, pc.replace_substring(texts, MARK, " "))]
                 made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 if texts.null_count:

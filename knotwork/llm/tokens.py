@@ -9,6 +9,8 @@ only.  Nulls and empty texts simply have no words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # a C library other than glibc
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system.  Spark's Python workers live on from task to task, and what
+    their allocators keep for later is missing from the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the output."""
     x = x.astype(np.uint64, copy=True)
@@ -144,7 +160,8 @@ def chain(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def batches(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
-    """Slices of a batch whose texts come to about ``size`` bytes (one text at least)."""
+    """Slices of a batch whose texts come to about ``size`` bytes (one text at least); after the last
+    one freed memory goes back to the system."""
     if not batch.num_rows:
         return
     _, offsets = utf8_buffer(batch.column(batch.schema.get_field_index(column)))
@@ -153,3 +170,4 @@ def batches(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    release()
