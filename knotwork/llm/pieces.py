@@ -32,7 +32,7 @@ from knotwork.llm import tokens
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_REMEMBERED = 1 << 20  # chunks that a worker keeps
+_REMEMBERED = 1 << 19  # chunks that a worker keeps
 _INDEXED = 1 << 18  # bytes of chunks that are indexed together
 
 
